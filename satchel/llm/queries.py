@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import sharding
+from satchel.llm import quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_sharding": op10_sharding}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, and the isolation forest's verdict."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_quality": op5_quality, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}
