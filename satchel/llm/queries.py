@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import quality, sharding
+from satchel.llm import decontaminate, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside a 10-word window of a benchmark item."""
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; equal texts stay together."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 8)
@@ -25,5 +32,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}
