@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, quality, sharding
+from satchel.llm import decontaminate, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; weak parts only where complementary ones co-occur."""
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and the isolation forest's verdict."""
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
