@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, quality, secrets, sharding
+from satchel.llm import decontaminate, language, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = language.identify(docs, language.fit(docs.where(~held_out & F.col("doc_id").isNotNull())))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside a 10-word window of a benchmark item."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,5 +48,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
