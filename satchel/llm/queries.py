@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, language, quality, secrets, sharding
+from satchel.llm import decontaminate, language, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from four fifths of the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt = labels.where(language.fold(F.col("doc_id"), 5) != 0)
+    out = toxicity.tag(docs, toxicity.fit(docs, learnt))
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
@@ -48,5 +57,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
