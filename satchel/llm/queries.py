@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, language, quality, secrets, sharding, toxicity
+from satchel.llm import decontaminate, language, quality, secrets, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 200-byte strings found elsewhere cover, and what is left."""
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and the isolation forest's verdict."""
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
