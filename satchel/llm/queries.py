@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, language, ngram_join, quality, secrets, sharding, substrings, toxicity
+from satchel.llm import decontaminate, html_text, language, ngram_join, quality, secrets, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
@@ -67,5 +72,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_html_text": op7_html_text, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
