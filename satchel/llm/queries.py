@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import decontaminate, html_text, language, ngram_join, quality, secrets, sharding, substrings, toxicity
+from satchel.llm import decontaminate, html_text, language, ngram_join, pieces, quality, secrets, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as piece ids, and whether they decode to it."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Pieces.load())
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; weak parts only where complementary ones co-occur."""
     out = secrets.scan(table(spark, sf_dir, "documents"))
@@ -72,5 +77,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_html_text": op7_html_text, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_sentencepiece": op2_sentencepiece, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_html_text": op7_html_text, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
