@@ -11,12 +11,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str]] = []  # session, folder, scope
+_SCOPE = [""]
 
 #: Rows and bytes up to which a table counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 2_000_000
@@ -40,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses; deleted when the driver ends."""
     path = f"{shared_folder(spark)}/satchel-{uuid.uuid4().hex}/{label}"
-    _WRITTEN.append((spark, path.rsplit("/", 1)[0]))
+    _WRITTEN.append((spark, path.rsplit("/", 1)[0], _SCOPE[-1]))
     return path
 
 
@@ -52,27 +55,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, keep: set[str] | None = None) -> None:
-    """Delete what ``stage`` has written in this session, but for folders in ``keep``."""
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is staged inside can be dropped by this name."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def drop_staged(spark: SparkSession, name: str | None = None) -> None:
+    """Delete what this session has staged in the scope ``name``, or in all scopes."""
     rest = []
-    for owner, path in _WRITTEN:
-        if owner is not spark or (keep and path in keep):
-            rest.append((owner, path))
+    for owner, path, of in _WRITTEN:
+        if owner is not spark or name not in (None, of):
+            rest.append((owner, path, of))
             continue
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _WRITTEN[:] = rest
 
 
-def written() -> set[str]:
-    """Folders staged so far, as a mark for ``drop_staged``."""
-    return {path for _, path in _WRITTEN}
-
-
 @atexit.register
 def _clean() -> None:
-    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+    for spark in {id(s): s for s, *_ in _WRITTEN}.values():
         try:
             drop_staged(spark)
         except Exception:  # the JVM may be gone already; the folder is scratch space
