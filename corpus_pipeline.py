@@ -1,8 +1,106 @@
-"""Five corpus stages, each over all that the stage before kept."""
+"""Five corpus stages, each over all that the stage before kept.
 
-STAGES: list = []
+Quality rules reject documents, the n-gram join leaves one document of each group of near
+copies, decontamination rejects documents with benchmark passages, the secret scan blanks what
+it finds, and the rest is encoded as SentencePiece ids.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from satchel.llm import decontaminate, ngram_join, pieces, quality, secrets
+from satchel.plans.staging import drop_staged, new_path, scope, small, stage
+
+SHINGLE, PERCENT = 5, 80  #: of the near-duplicate stage
+
+
+def staged(f: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage first drops what earlier stages staged for themselves: their results are written."""
+
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_staged(spark, "pipeline stage")
+        with scope("pipeline stage"):
+            return f(spark, docs, sf_dir)
+
+    return call
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id); null ids match null.
+
+    The ids are broadcast if their count is within the bound, and shuffled otherwise.
+    """
+    gone = small(stage(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+@staged
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go.  Null and empty texts fail the rules."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@staged
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the least doc_id stays.
+
+    Rows that repeat a doc_id and its text are one document; texts that differ under one doc_id
+    are kept or dropped together.
+    """
+    found = stage(ngram_join.join(docs, SHINGLE, PERCENT), "components")
+    left = without(docs, found.where("doc_id != component_id"))
+    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    if again.limit(1).count():
+        twice = left.join(small(again), docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+        left = without(left, again).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    return left
+
+
+@staged
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.where("contaminated"))
+
+
+@staged
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reported spans are blanked; all documents stay."""
+    return secrets.redact(docs)
+
+
+@staged
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as ids."""
+    return pieces.encode(docs, pieces.Pieces.load())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: The forest's verdicts and the ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written, and read by the next stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, f) in enumerate(STAGES):
+        found = f(spark, docs, sf_dir)
+        with scope("pipeline result"):
+            path = new_path(spark, f"stage{k}")
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+    drop_staged(spark, "pipeline stage")
+    return docs
