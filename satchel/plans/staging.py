@@ -9,10 +9,12 @@ master without that setting (tests) gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,14 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 32 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they share the driver's file system."""
+    root = str(Path(__file__).resolve().parents[2])
+    found = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in found.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, found)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, or a temporary one on a local master."""
     conf = spark.sparkContext.getConf()
