@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm import decontaminate, ngram_join, pieces, quality, secrets
-from satchel.plans.staging import drop_staged, new_path, scope, small, stage
+from satchel.plans.staging import drop_staged, new_path, scope, ship, small, stage
 
 SHINGLE, PERCENT = 5, 80  #: of the near-duplicate stage
 
@@ -24,6 +24,7 @@ def staged(f: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, st
 
     @wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         drop_staged(spark, "pipeline stage")
         with scope("pipeline stage"):
             return f(spark, docs, sf_dir)

@@ -9,10 +9,12 @@ last.  The classes come from counts over the whole corpus, kept as bit maps; a b
 function of the token, so false positives cost time and never a link.
 
 Candidates share a prefix token under the first order; before verification they must share one
-under the second order too, and have compatible sizes.  No bucket is expanded into all its
-pairs: each bucket's hub is compared with the bucket, linked nodes are contracted, and only
-pairs of different components are looked at again, in buckets that both orders' tokens define.
-Every pair that no component already joins is compared, however large its bucket is.
+under the second order too, have compatible sizes, and pass a bit map bound: two sets differ in
+at least as many tokens as their bit maps differ in bits.  No bucket is expanded into rows for
+all its pairs: each bucket's hub is compared with the bucket and linked nodes are contracted;
+after that, what is left of a bucket is compared by bit maps inside a task, block by block, and
+only pairs of different components that pass the bound leave it.  Every pair that no component
+joins already is compared, however large its bucket is.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ SAMPLE = 4  #: one token in so many is counted over the corpus
 FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-PAIRS_IN = 24  #: nodes of a bucket up to which its remaining pairs are compared at once
-STARS = 2  #: rounds of hubs before that
+STARS = 2  #: rounds of hubs before the rest of each bucket is compared
+BLOCK = 2048  #: nodes of a bucket that one task compares with each other or with another block
 
 _STEPS = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
 
@@ -127,7 +129,8 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Staged (node, tokens): the sets of the nodes in ``wanted``, as sorted 8-byte hashes."""
+    """Staged (node, tokens, bits): the sets of the nodes in ``wanted`` as sorted 8-byte hashes,
+    and their bit maps of four bits a token."""
     mask = bitmap(docs.sparkSession, wanted, "node")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +142,110 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 part = some[a : a + 500]
                 yield pa.record_batch([pa.array(part, pa.int64()), pa.array([found[i].tobytes() for i in part], pa.binary())], ["node", "tokens"])
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [bits_of(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column("tokens")]
+            yield pa.record_batch([*batch.columns, pa.array(bits, pa.binary())], ["node", "tokens", "bits"])
+
     sets = docs.select("text").mapInArrow(pick, "node long, tokens binary").join(wanted, "node", "left_semi")
-    return stage(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return stage(sets.groupBy("node").agg(F.first("tokens").alias("tokens")).mapInArrow(draw, "node long, tokens binary, bits binary"), "sets")
+
+
+def bits_of(own: np.ndarray) -> np.ndarray:
+    """Which of 4 n (a power of two, 64 at least) hash values the tokens have, as 64-bit words."""
+    size = max(64, 1 << (4 * len(own) - 1).bit_length())
+    at = (own >> np.uint64(7)) % np.uint64(size)
+    out = np.zeros(size // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bit map that a smaller size would have given; sizes are powers of two."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
+
+
+def may_link(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``total`` tokens together may be similar if ``differ`` bits differ."""
+    return differ * (100 + percent) <= total * (100 - percent)
+
+
+def by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that pass the bit map bound."""
+    both = pairs.join(bits.withColumnsRenamed({"node": "b", "bits": "right"}), "b").join(bits.withColumnsRenamed({"node": "a", "bits": "left"}), "a")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "right"):
+            differ = []
+            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                differ.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(np.array(differ, np.int64), total, percent)))
+
+    return both.select("a", "b", "na", "nb", "left", "right").mapInArrow(bound, "a long, b long")
+
+
+def rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one group (grp) and different components that pass the bit map bound.
+
+    ``rows`` has grp, side (0, or 1 for the second of two blocks that are only compared with each
+    other), node, n_shingles, comp and bits; groups are of bounded size.
+    """
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, n, comp, side, grp = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "comp", "side", "grp"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("bits")]
+        out_a, out_b = [], []
+        edge = np.append(np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)), len(grp))
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            order = low + np.argsort(n[low:high], kind="stable")
+            words = np.array([len(bits[i]) for i in order])
+            tables = {}
+            for w in np.unique(words).tolist():  # partners' maps are as large or twice as large
+                use = np.flatnonzero((words >= w) & (words <= 2 * w))
+                tables[w] = np.stack([folded(bits[order[i]], w) for i in use]), use[0]
+            sizes, two = n[order], side[low:high].any()
+            reach = np.searchsorted(sizes, sizes * 100 // percent, "right")
+            for k in range(high - low - 1):
+                j = np.arange(k + 1, reach[k])
+                j = j[(comp[order[j]] != comp[order[k]]) & ((side[order[j]] != side[order[k]]) if two else True)]
+                if not len(j):
+                    continue
+                table, first = tables[words[k]]
+                differ = np.bitwise_count(table[j - first] ^ table[k - first]).sum(1, dtype=np.int64)
+                j = j[may_link(differ, sizes[j] + sizes[k], percent)]
+                out_a.append(np.full(len(j), node[order[k]]))
+                out_b.append(node[order[j]])
+        empty = [np.zeros(0, np.int64)]
+        return np.concatenate(out_a or empty), np.concatenate(out_b or empty)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        size = 0
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            a, b = compare(rows.combine_chunks())
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for batch in slices(batches, "bits", 1 << 20):
+            kept.append(batch)
+            size += batch.column("bits").nbytes
+            if size < 4 << 20:
+                continue
+            rows = pa.Table.from_batches(kept)
+            grp = rows.column("grp").to_numpy()
+            whole = int(np.argmax(grp == grp[-1]))  # the last group may go on
+            if whole:
+                yield done(rows.slice(0, whole))
+                kept = rows.slice(whole).to_batches()
+                size = sum(b.column("bits").nbytes for b in kept)
+        if kept:
+            yield done(pa.Table.from_batches(kept))
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(work, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,51 +275,42 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     buckets = stage(each.join(shared, "key").withColumn("comp", F.col("node")), "buckets")
     sets = fetch_sets(docs, buckets.select("node").distinct(), n)
-    second = nodes.select("node", "pre2")
+    tokens, bits, second = sets.drop("bits"), sets.drop("tokens"), nodes.select("node", "pre2")
     tested = links = None
-    round_, refined = 0, False
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        nonlocal tested
-        pairs = pairs.select("a", "b").distinct()
+    def linked(pairs: DataFrame) -> None:
+        """Compare new pairs (a, b) and contract what they link."""
+        nonlocal tested, links, buckets
+        pairs = pairs.distinct()
         if tested is not None:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
-        second_b, second_a = second.withColumnsRenamed({"node": "b", "pre2": "pb"}), second.withColumnsRenamed({"node": "a", "pre2": "pa"})
-        pairs = stage(pairs.join(second_b, "b").join(second_a, "a").where(F.arrays_overlap("pa", "pb")).select("a", "b"), "pairs")
+        pairs = pairs.join(second.withColumnsRenamed({"node": "b", "pre2": "pb"}), "b").join(second.withColumnsRenamed({"node": "a", "pre2": "pa"}), "a")
+        pairs = stage(pairs.where(F.arrays_overlap("pa", "pb")).select("a", "b"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        return stage(verify(pairs, sets, percent), "links")
-
-    while True:
-        mixed = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node", F.lit(round_))).alias("hub")).where("x != y").drop("x", "y")
-        mixed = stage(mixed, "mixed")
-        state = mixed.agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
-        if not state.n:
-            break
-        stars = mixed
-        pairs = []
-        if round_ >= STARS and not refined and state.c > PAIRS_IN:
-            # Large buckets become buckets of a token of either order.
-            large = buckets.join(mixed.where(F.col("c") > PAIRS_IN).select("key"), "key").join(second, "node")
-            large = large.withColumn("other", F.explode("pre2")).select(F.xxhash64("key", "other").alias("key"), "node", "n_shingles", "comp")
-            small = buckets.join(mixed.where(F.col("c") <= PAIRS_IN).select("key"), "key").select("key", "node", "n_shingles", "comp")
-            buckets, refined = stage(small.unionByName(large), "buckets"), True
-            continue
-        if round_ >= STARS:
-            few = buckets.join(mixed.where(F.col("c") <= PAIRS_IN).select("key"), "key")
-            one = few.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
-            two = few.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-            pairs.append(one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")))
-            stars = mixed.where(F.col("c") > PAIRS_IN)
-        star = buckets.join(stars.select("key", "hub"), "key").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"), F.col("hub.comp").alias("ca"))
-        pairs.append(star.where((F.col("ca") != F.col("cb")) & fits("na", "nb")))
-        new = judged(pairs[0].select("a", "b") if len(pairs) == 1 else pairs[0].select("a", "b").unionByName(pairs[1].select("a", "b")))
+        new = stage(verify(pairs, tokens, percent), "links")
         links = new if links is None else links.unionByName(new)
         comps = components(links).withColumnsRenamed({"comp": "new"})
-        # Hubs have met their whole bucket; buckets whose pairs were all compared are done.
-        rest = buckets.join(stars.select("key", F.col("hub.node").alias("hub")), "key").where("node != hub")
-        buckets = stage(rest.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("new", "comp").alias("comp")), "buckets")
-        round_ += 1
+        buckets = stage(buckets.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("new", "comp").alias("comp")), "buckets")
+
+    def mixed(round_: int) -> DataFrame:
+        """Buckets of several components, one of each set of nodes, with a hub."""
+        hub = F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node", F.lit(round_)))
+        found = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), hub.alias("hub"))
+        return stage(found.where("x != y").groupBy("c", "same", "hub").agg(F.min("key").alias("key")), "mixed")
+
+    for round_ in range(STARS):
+        star = buckets.join(mixed(round_).select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
+        star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
+        linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
+    rows = buckets.join(mixed(STARS).select("key", "c"), "key").join(bits, "node")
+    # A bucket of more than BLOCK nodes is cut into blocks; every two of them make a group.
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(group).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_shingles", "comp", "bits")
+    linked(rest_of_buckets(rows, percent))
     if links is None:
         return docs.sparkSession.createDataFrame([], "node long, comp long")
     return components(links)
