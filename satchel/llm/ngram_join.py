@@ -12,9 +12,10 @@ Candidates share a prefix token under the first order; before verification they
 under the second order too, have compatible sizes, and pass a bit map bound: two sets differ in
 at least as many tokens as their bit maps differ in bits.  No bucket is expanded into rows for
 all its pairs: each bucket's hub is compared with the bucket and linked nodes are contracted;
-after that, what is left of a bucket is compared by bit maps inside a task, block by block, and
-only pairs of different components that pass the bound leave it.  Every pair that no component
-joins already is compared, however large its bucket is.
+after that, what is left of a bucket is compared by bit maps inside a task, block by block.  For
+a few rounds only each node's nearest partner of another component leaves the task, which
+contracts dense groups; then all pairs of different components that pass the bound do.  Every
+pair that no component joins already is compared, however large its bucket is.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SAMPLE = 4  #: one token in so many is counted over the corpus
 FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-STARS = 2  #: rounds of hubs before the rest of each bucket is compared
+NEAREST = 2  #: rounds in which nodes meet their nearest only, before all that is left is compared
 BLOCK = 2048  #: nodes of a bucket that one task compares with each other or with another block
 
 _STEPS = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
@@ -187,8 +188,9 @@ def by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "left", "right").mapInArrow(bound, "a long, b long")
 
 
-def rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one group (grp) and different components that pass the bit map bound.
+def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one group (grp) and different components that pass the bit map bound; with
+    ``nearest`` for each node only the pair whose bit maps differ least.
 
     ``rows`` has grp, side (0, or 1 for the second of two blocks that are only compared with each
     other), node, n_shingles, comp and bits; groups are of bounded size.
@@ -208,6 +210,7 @@ def rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
                 tables[w] = np.stack([folded(bits[order[i]], w) for i in use]), use[0]
             sizes, two = n[order], side[low:high].any()
             reach = np.searchsorted(sizes, sizes * 100 // percent, "right")
+            least, best = np.full(len(order), np.iinfo(np.int64).max), np.full(len(order), -1)
             for k in range(high - low - 1):
                 j = np.arange(k + 1, reach[k])
                 j = j[(comp[order[j]] != comp[order[k]]) & ((side[order[j]] != side[order[k]]) if two else True)]
@@ -215,9 +218,20 @@ def rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
                     continue
                 table, first = tables[words[k]]
                 differ = np.bitwise_count(table[j - first] ^ table[k - first]).sum(1, dtype=np.int64)
-                j = j[may_link(differ, sizes[j] + sizes[k], percent)]
-                out_a.append(np.full(len(j), node[order[k]]))
-                out_b.append(node[order[j]])
+                passed = may_link(differ, sizes[j] + sizes[k], percent)
+                j, differ = j[passed], differ[passed]
+                if not nearest:
+                    out_a.append(np.full(len(j), node[order[k]]))
+                    out_b.append(node[order[j]])
+                elif len(j):
+                    closer = differ < least[j]
+                    least[j[closer]], best[j[closer]] = differ[closer], k
+                    if differ[i := int(differ.argmin())] < least[k]:
+                        least[k], best[k] = differ[i], j[i]
+            if nearest:
+                some = np.flatnonzero(best >= 0)
+                out_a.append(node[order[some]])
+                out_b.append(node[order[best[some]]])
         empty = [np.zeros(0, np.int64)]
         return np.concatenate(out_a or empty), np.concatenate(out_b or empty)
 
@@ -293,24 +307,27 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         comps = components(links).withColumnsRenamed({"comp": "new"})
         buckets = stage(buckets.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("new", "comp").alias("comp")), "buckets")
 
-    def mixed(round_: int) -> DataFrame:
+    def mixed() -> DataFrame:
         """Buckets of several components, one of each set of nodes, with a hub."""
-        hub = F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node", F.lit(round_)))
+        hub = F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node"))
         found = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), hub.alias("hub"))
         return stage(found.where("x != y").groupBy("c", "same", "hub").agg(F.min("key").alias("key")), "mixed")
 
-    for round_ in range(STARS):
-        star = buckets.join(mixed(round_).select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
-        star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
-        linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
-    rows = buckets.join(mixed(STARS).select("key", "c"), "key").join(bits, "node")
-    # A bucket of more than BLOCK nodes is cut into blocks; every two of them make a group.
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(group).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_shingles", "comp", "bits")
-    linked(rest_of_buckets(rows, percent))
+    star = buckets.join(mixed().select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
+    star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
+    linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
+    for round_ in range(NEAREST + 1):
+        left = mixed()
+        if not left.limit(1).count():
+            break
+        rows = buckets.join(left.select("key", "c"), "key").join(bits, "node")
+        # A bucket of more than BLOCK nodes is cut into blocks; every two of them make a group.
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(group).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_shingles", "comp", "bits")
+        linked(rest_of_buckets(rows, percent, round_ < NEAREST))
     if links is None:
         return docs.sparkSession.createDataFrame([], "node long, comp long")
     return components(links)
