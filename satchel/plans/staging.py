@@ -61,7 +61,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
