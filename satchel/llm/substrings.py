@@ -8,14 +8,15 @@ follows within ``LENGTH``), and the distinct contexts are the *dictionary*.  Hig
 text has few contexts for its length.
 
 1. The parse is counted by (trigger, context).  Contexts that occur twice repeat as a whole.
-2. Triggers with several contexts are where repeats begin and end.  For those alone the suffixes
-   of the dictionary are sorted by prefix doubling, up to ``LENGTH`` bytes, and the parse's counts
-   are added up over equal neighbours: that is the order of the corpus, made from dictionary and
-   parse.  Runs whose rank two places share are repeats.
+2. Triggers with several contexts are where repeats begin and end.  For those alone one text of
+   each context is fetched, and the suffixes of this dictionary are sorted by prefix doubling, up
+   to ``LENGTH`` bytes; the parse's counts are added up over equal neighbours, which is the order
+   of the corpus, made from dictionary and parse.  Runs whose rank two places share are repeats.
+   Groups of over ``SORTED`` contexts compare 128 bits of hash (trigger and run) instead of ranks.
 3. A trigger with more than ``MANY`` contexts would put an unbounded group into one task; its runs
-   are counted one by one by 128 bits of hash instead, which gives the same answer.
+   are counted one by one in the cluster, by the same hashes.
 
-Triggers that occur once, most of any corpus, never leave the first count.
+Triggers that occur once, most of a varied corpus, never leave the first count.
 """
 
 from __future__ import annotations
@@ -26,17 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.llm.textops import mix, slices
 from satchel.plans.staging import stage
 
 LENGTH, GRAM = 200, 32
-MANY = 500
+SORTED, MANY = 2_000, 30_000
 BLOCK = 1 << 20  #: bytes hashed at once
 SORT_BYTES = 1 << 20  #: dictionary text sorted at once
-SLOTS = 1 << 20  #: words of 64 bits in the filter of triggers that occur twice
+PORTION = 1 << 20  #: triggers that a task counts before it sends their counts
+SLOTS = 1 << 20  #: words of 64 bits in a bit map, whatever it holds
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -141,121 +143,188 @@ def _grown(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, begin, _ in pieces(batches):
+    """(key, ctx, n, ref) once for each context in a portion of the task's texts."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def work() -> pa.RecordBatch:
+        key, ctx, ref = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((ref, ctx, key))
+        key, ctx, ref = key[order], ctx[order], ref[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        return pa.record_batch([pa.array(key[first]), pa.array(ctx[first]), pa.array(n), pa.array(ref[first])], ["key", "ctx", "n", "ref"])
+
+    for batch, data, begin, _ in pieces(batches):
         t = triggers(data, begin)
-        yield pa.record_batch([pa.array(t["key"]), pa.array(t["ctx"])], ["key", "ctx"])
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Where runs of ``LENGTH`` bytes start that start anywhere else too: doc_id, text_hash, lo
-    and runs (so many starts from lo on), starts (those of them that repeat; null for all)."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    parse = keyed.select("text").mapInArrow(_count, "key long, ctx long").groupBy("key", "ctx").agg(F.count("*").alias("n"))
-    parse = stage(parse, "parse")
-    keys = parse.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("variants")).where("total > 1")
-    keys = stage(keys, "keys")
-    slot = F.shiftrightunsigned("key", 44)
-    bits = F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))")
-    masks = []
-    for some in (keys, keys.where("variants > 1")):  # at most SLOTS rows each
-        mask = np.zeros(SLOTS, np.uint64)
-        table = some.groupBy(slot.alias("slot")).agg(bits.alias("bits")).toArrow()
-        mask[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-        masks.append(spark.sparkContext.broadcast(mask))
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, begin, offset in pieces(batches):
+        kept.append((t["key"], t["ctx"], batch.column("ref").to_numpy()[t["doc"]]))
+        size += len(t["key"])
+        if size >= PORTION:
+            yield work()
+            kept, size = [], 0
+    if kept:
+        yield work()
+
+
+def _bitmap(table: DataFrame, value: str):
+    """A broadcast bit map of a column of hashes: at most ``SLOTS`` rows come to the driver."""
+    mask = np.zeros(SLOTS, np.uint64)
+    bits = F.expr(f"bit_or(shiftleft(1L, cast(({value}) & 63 as int)))")
+    found = table.groupBy(F.expr(f"cast(shiftrightunsigned({value}, 44) as int)").alias("slot")).agg(bits.alias("bits")).toArrow()
+    mask[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table.sparkSession.sparkContext.broadcast(mask)
+
+
+def _inside(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    value = values.view(np.uint64)
+    return (mask[(value >> np.uint64(44)).astype(np.int64)] >> (value & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _runs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionary text of rows, and for each run its row, its number, and its place."""
+    text = rows.column("context").combine_chunks()
+    size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, number = _grown(size - LENGTH + 1)
+    data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+    return data, owner, number, (np.cumsum(size) - size)[owner] + number
+
+
+def _judge(rows: pa.Table, by_hash: bool) -> pa.RecordBatch:
+    """Repeated runs of contexts that occur once (n = 1); whole groups of a key at a time."""
+    data, owner, number, at = _runs_of(rows)
+    n, key = rows.column("n").to_numpy(), rows.column("key").to_numpy()
+    if by_hash:
+        order = np.lexsort((fp := Rolling(data).hash(at, at + LENGTH), key[owner]))
+        new = np.append(False, (fp[order][1:] != fp[order][:-1]) | (key[owner[order]][1:] != key[owner[order]][:-1]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+    else:
+        rank = suffix_ranks(data, at)
+    hit = (np.bincount(rank, weights=n[owner])[rank] > 1) & (n[owner] == 1) if len(rank) else np.zeros(0, bool)
+    some, count = np.unique(owner[hit], return_counts=True)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(number[hit].astype(np.int32)))
+    return pa.record_batch([rows.column(c).combine_chunks().take(pa.array(some)) for c in ("key", "ctx")] + [starts], ["key", "ctx", "starts"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key in bounded portions that do not cut a key's rows."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, "context", SORT_BYTES // 4):
+        kept.append(batch)
+        size += batch.column("context").nbytes
+        if size < SORT_BYTES:
+            continue
+        rows = pa.Table.from_batches(kept)
+        key = rows.column("key").to_numpy()
+        whole = int(np.argmax(key == key[-1]))  # the last group may go on
+        if whole:
+            yield rows.slice(0, whole)
+            kept = rows.slice(whole).to_batches()
+            size = sum(b.column("context").nbytes for b in kept)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ctx, n, context) sorted by key and context: a count and a text of each context
+    come in rows of their own."""
+    for rows in _whole_groups(batches):
+        key, ctx = (rows.column(c).to_numpy() for c in ("key", "ctx"))
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))
+        n = np.add.reduceat(rows.column("n").to_numpy(), first)
+        there = np.flatnonzero(rows.column("context").is_valid().to_numpy())
+        text = there[np.searchsorted(there, first).clip(max=max(len(there) - 1, 0))] if len(there) else first
+        good = n > 0  # a bit map's false positive has no count
+        picked = rows.take(pa.array(text[good])).set_column(2, "n", pa.array(n[good]))
+        own = picked.column("key").to_numpy()
+        start = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
+        large = np.flatnonzero(np.diff(start) > SORTED)
+        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
+            yield _judge(picked.slice(a, b - a), True)
+        small = np.ones(len(own), bool)
+        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
+            small[a:b] = False
+        if small.any():
+            yield _judge(picked.filter(pa.array(small)), False)
+
+
+def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "context", 1 << 18):
+        data, owner, number, at = _runs_of(pa.Table.from_batches([batch]))
+        fp = Rolling(data).hash(at, at + LENGTH)
+        columns = [batch.column(c).take(pa.array(owner)) for c in ("key", "ctx", "n")]
+        yield pa.record_batch([*columns, pa.array(number.astype(np.int32)), pa.array(fp.view(np.int64))], ["key", "ctx", "n", "number", "fp"])
+
+
+def reference(docs: DataFrame) -> DataFrame:
+    """(ref, text): ref stands for a document's id and text; rows equal in both share it."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id", text).alias("ref"), text.alias("text"))
+
+
+def repeated_runs(docs: DataFrame, many: int = MANY) -> DataFrame:
+    """Where runs of ``LENGTH`` bytes start that start anywhere else too: ref (of ``reference``),
+    place (the first start << 16 | the number of starts) and starts (those that repeat; null for
+    all)."""
+    keyed = reference(docs)
+    counted = keyed.mapInArrow(_count, "key long, ctx long, n long, ref long")
+    # Rows are counted within tasks, so the hottest trigger has a row for each task at most.
+    parse = counted.repartition("key").groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("ref").alias("ref"))
+    of_key = Window.partitionBy("key")
+    parse = parse.withColumn("total", F.sum("n").over(of_key)).withColumn("variants", F.count("*").over(of_key)).where("total > 1")
+    parse = stage(parse.select("key", "ctx", "n", "ref", "variants"), "parse")
+    spread = parse.where("variants > 1")
+    wanted = _bitmap(spread, "ctx ^ ref")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, begin, _ in pieces(batches):
             t = triggers(data, begin)
-            key = t["key"].view(np.uint64)
-            probe = lambda m: (m.value[(key >> np.uint64(44)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1) > 0  # noqa: E731,B023
-            pick, spread = np.flatnonzero(probe(masks[0])), probe(masks[1])
-            at, size = t["at"], t["runs"] + LENGTH - 1
-            raw = data.tobytes()
-            context = [raw[at[i] : at[i] + size[i]] if spread[i] else None for i in pick.tolist()]
-            columns = [batch.column(c).take(pa.array(t["doc"][pick])) for c in ("doc_id", "text_hash")]
-            numbers = [pa.array((t["lo"][pick] + offset).astype(np.int64)), pa.array(t["runs"][pick].astype(np.int32)), pa.array(t["key"][pick]), pa.array(t["ctx"][pick])]
-            yield pa.record_batch([*columns, *numbers, pa.array(context, pa.binary())], ["doc_id", "text_hash", "lo", "runs", "key", "ctx", "context"])
-
-    schema = f"doc_id {kind}, text_hash long, lo long, runs int, key long, ctx long, context binary"
-    places = stage(keyed.mapInArrow(occurrences, schema), "places")
-    dictionary = (
-        places.where("context is not null")
-        .groupBy("key", "ctx")
-        .agg(F.first("context").alias("context"))
-        .join(parse, ["key", "ctx"])
-        .join(keys.where("variants > 1").select("key", "variants"), "key")
-    )
-    dictionary = stage(dictionary, "dictionary")
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; groups are sorted together, whole, in bounded portions."""
-        kept: list[pa.RecordBatch] = []
-
-        def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            text = rows.column("context").combine_chunks()
-            size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner, number = _grown(size - LENGTH + 1)
-            data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-            rank = suffix_ranks(data, (np.cumsum(size) - size)[owner] + number)
-            weight = rows.column("n").to_numpy()[owner]
-            hit = np.bincount(rank, weights=weight)[rank] > 1
-            starts = np.split(number[hit].astype(np.int32), np.cumsum(np.bincount(owner[hit], minlength=len(size)))[:-1])
-            some = [i for i, s in enumerate(starts) if len(s)]
-            yield pa.record_batch([rows.column("key").combine_chunks().take(pa.array(some, pa.int64())), rows.column("ctx").combine_chunks().take(pa.array(some, pa.int64())), pa.array([starts[i] for i in some], pa.list_(pa.int32()))], ["key", "ctx", "starts"])
-
-        size = 0
-        for batch in slices(batches, "context", SORT_BYTES // 4):
-            kept.append(batch)
-            size += batch.column("context").nbytes
-            if size < SORT_BYTES:
-                continue
-            rows = pa.Table.from_batches(kept)
-            key = rows.column("key").to_numpy()
-            whole = int(np.searchsorted(key, key[-1], "left"))  # the last group may go on
-            if whole:
-                yield from work(rows.slice(0, whole))
-                kept = rows.slice(whole).to_batches()
-                size = sum(b.column("context").nbytes for b in kept)
-        if kept:
-            yield from work(pa.Table.from_batches(kept))
-
-    few = dictionary.where(F.col("variants") <= MANY).select("key", "ctx", "n", "context").repartition("key").sortWithinPartitions("key").mapInArrow(judged, "key long, ctx long, starts array<int>")
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "context", 1 << 18):
-            text = batch.column("context")
-            size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner, number = _grown(size - LENGTH + 1)
-            data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-            at = (np.cumsum(size) - size)[owner] + number
-            fp = Rolling(data).hash(at, at + LENGTH)
-            columns = [batch.column(c).take(pa.array(owner)) for c in ("key", "ctx", "n")]
-            yield pa.record_batch([*columns, pa.array(number.astype(np.int32)), pa.array(fp.view(np.int64))], ["key", "ctx", "n", "number", "fp"])
-
-    runs = dictionary.where(F.col("variants") > MANY).select("key", "ctx", "n", "context").mapInArrow(single, "key long, ctx long, n long, number int, fp long")
-    runs = stage(runs, "runs")
-    twice = runs.groupBy("key", "fp").agg(F.sum("n").alias("w")).where("w > 1").drop("w")
-    many = runs.join(twice, ["key", "fp"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_set("number")).alias("starts"))
-    # A context that occurs twice repeats as a whole; its own row would say the same.
+            pick = np.flatnonzero(_inside(wanted.value, t["ctx"] ^ batch.column("ref").to_numpy()[t["doc"]]))
+            at, end, raw = t["at"][pick].tolist(), (t["at"] + t["runs"] + LENGTH - 1)[pick].tolist(), data.tobytes()
+            yield pa.record_batch([pa.array(t["key"][pick]), pa.array(t["ctx"][pick]), pa.array(np.zeros(len(pick), np.int64)), pa.array([raw[a:b] for a, b in zip(at, end, strict=True)], pa.binary())], ["key", "ctx", "n", "context"])
+
+    schema = "key long, ctx long, n long, context binary"
+    texts = keyed.mapInArrow(fetch, schema)
+    counts = spread.where(F.col("variants") <= many).select("key", "ctx", "n", F.lit(None).cast("binary").alias("context"))
+    hot = spread.where(F.col("variants") > many)
+    some_hot = hot.limit(1).count() > 0
+    if some_hot:
+        texts = stage(texts, "texts")
+        cold = texts.join(hot.select("key", "ctx"), ["key", "ctx"], "left_anti")
+    else:
+        cold = texts
+    marks = counts.unionByName(cold).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_sorted_runs, "key long, ctx long, starts array<int>")
+    if some_hot:
+        hottest = texts.dropDuplicates(["key", "ctx"]).drop("n").join(hot.select("key", "ctx", "n"), ["key", "ctx"]).select("key", "ctx", "n", "context")
+        runs = stage(hottest.mapInArrow(_single_runs, "key long, ctx long, n long, number int, fp long"), "runs")
+        twice = runs.groupBy("key", "fp").agg(F.sum("n").alias("w")).where("w > 1").drop("w")
+        marks = marks.unionByName(runs.where("n = 1").join(twice, ["key", "fp"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_set("number")).alias("starts")))
     whole = parse.where("n > 1").select("key", "ctx", F.lit(None).cast("array<int>").alias("starts"))
-    once = parse.where("n = 1").select("key", "ctx")
-    edges = few.unionByName(many).join(once, ["key", "ctx"], "left_semi")
-    return places.drop("context").join(whole.unionByName(edges), ["key", "ctx"]).select("doc_id", "text_hash", "lo", "runs", "starts")
+    marks = stage(whole.unionByName(marks), "marks")
+    marked = _bitmap(marks, "ctx")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, begin, offset in pieces(batches):
+            t = triggers(data, begin)
+            pick = np.flatnonzero(_inside(marked.value, t["ctx"]))
+            place = (t["lo"][pick] + offset) << 16 | t["runs"][pick]
+            yield pa.record_batch([pa.array(batch.column("ref").to_numpy()[t["doc"][pick]]), pa.array(place), pa.array(t["key"][pick]), pa.array(t["ctx"][pick])], ["ref", "place", "key", "ctx"])
+
+    found = keyed.mapInArrow(places, "ref long, place long, key long, ctx long")
+    return found.join(marks, ["key", "ctx"]).select("ref", "place", "starts")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans, an array
     of (start, end) of the maximal removed runs in bytes.
 
     Null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all.  Repeated rows
     repeat each other's text and so lose what is long enough.  Other columns are ignored.
     """
-    found = repeated_runs(docs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "runs", "starts")).alias("found"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "found")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(rows["text"]) == found["__hash"]), "left").select("doc_id", "text", "found")
+    found = repeated_runs(docs, many).groupBy("ref").agg(F.collect_set(F.struct("place", "starts")).alias("found"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("ref"), text.alias("text")).join(found, "ref", "left").select("doc_id", "text", "found")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +335,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 raw = np.frombuffer(text.encode(), np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int32)
                 for f in found.as_py() or []:
+                    first, count = f["place"] >> 16, f["place"] & 0xFFFF
                     if f["starts"] is None:
-                        edge[f["lo"]] += 1
-                        edge[f["lo"] + f["runs"] + LENGTH - 1] -= 1
+                        edge[first] += 1
+                        edge[first + count + LENGTH - 1] -= 1
                     else:
-                        at = np.array(f["starts"], np.int64) + f["lo"]
+                        at = np.array(f["starts"], np.int64) + first
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + LENGTH, -1)
                 gone = np.append(np.cumsum(edge[:-1]) > 0, False)
