@@ -36,7 +36,7 @@ SAMPLE = 4  #: one token in so many is counted over the corpus
 FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-NEAREST = 2  #: rounds in which nodes meet their nearest only, before all that is left is compared
+NEAREST = 3  #: rounds in which nodes meet their nearest only, before all that is left is compared
 BLOCK = 2048  #: nodes of a bucket that one task compares with each other or with another block
 
 _STEPS = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
@@ -320,7 +320,10 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         left = mixed()
         if not left.limit(1).count():
             break
-        rows = buckets.join(left.select("key", "c"), "key").join(bits, "node")
+        rows = buckets.join(left.select("key", "c"), "key")
+        if round_ < NEAREST:  # contracting dense groups takes one bucket of each node, the largest
+            rows = rows.groupBy("node", "n_shingles", "comp").agg(F.max(F.struct("c", "key")).alias("m")).select("m.key", "m.c", "node", "n_shingles", "comp")
+        rows = rows.join(bits, "node")
         # A bucket of more than BLOCK nodes is cut into blocks; every two of them make a group.
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
