@@ -118,7 +118,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["__hash"]), "left")
     updated = {"text": F.when(c.isNull(), text).otherwise(new)}
     if "n_chars" in docs.columns:
-        updated["n_chars"] = F.when(c.isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType))
+        shorter = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"] - len(mark))
+        updated["n_chars"] = F.when(c.isNull(), F.col("n_chars")).otherwise((F.char_length(text) - shorter).cast(docs.schema["n_chars"].dataType))
     return joined.select(*[updated[x].alias(x) if x in updated else docs[x] for x in docs.columns])
 
 
