@@ -164,7 +164,11 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> ToxicModel:
     with1 = np.bincount((pair & 0xFFFFFFFF)[in_toxic], minlength=len(names))
     with0 = np.bincount((pair & 0xFFFFFFFF)[~in_toxic], minlength=len(names))
     odds = np.log((with1 + 0.5) / (n1 + 1)) - np.log((with0 + 0.5) / (n0 + 1))
+    # Likelihood ratio of "toxic share differs"; it must stand out among all forms looked at.
+    part = lambda k, p: k * np.log(np.maximum(k, 1e-9) / np.maximum((with1 + with0) * p, 1e-9))
+    ratio = 2 * (part(with1, n1 / len(texts)) + part(with0, n0 / len(texts)))
     use = with1 >= MIN_DOCS
+    odds[ratio < 2 * np.log(10 * max(use.sum(), 1))] = -np.inf
     number = np.cumsum(use) - 1
     keep = use[ids]
     rows, ids = rows[keep], number[ids[keep]]
