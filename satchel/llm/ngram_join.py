@@ -37,6 +37,7 @@ FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 NEAREST = 3  #: rounds in which nodes meet their nearest only, before all that is left is compared
+PAIRS = 1 << 19  #: pairs that a task holds before it sends them
 BLOCK = 2048  #: nodes of a bucket that one task compares with each other or with another block
 
 _STEPS = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
@@ -188,6 +189,15 @@ def by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "left", "right").mapInArrow(bound, "a long, b long")
 
 
+def unique_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(left), np.concatenate(right)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return pa.record_batch([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+
 def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of one group (grp) and different components that pass the bit map bound; with
     ``nearest`` for each node only the pair whose bit maps differ least.
@@ -196,10 +206,10 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     other), node, n_shingles, comp and bits; groups are of bounded size.
     """
 
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, n, comp, side, grp = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "comp", "side", "grp"))
         bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("bits")]
-        out_a, out_b = [], []
+        out_a, out_b, size = [], [], 0
         edge = np.append(np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)), len(grp))
         for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             order = low + np.argsort(n[low:high], kind="stable")
@@ -223,6 +233,9 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 if not nearest:
                     out_a.append(np.full(len(j), node[order[k]]))
                     out_b.append(node[order[j]])
+                    if (size := size + len(j)) > PAIRS:
+                        yield unique_pairs(out_a, out_b)
+                        out_a, out_b, size = [], [], 0
                 elif len(j):
                     closer = differ < least[j]
                     least[j[closer]], best[j[closer]] = differ[closer], k
@@ -232,18 +245,13 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 some = np.flatnonzero(best >= 0)
                 out_a.append(node[order[some]])
                 out_b.append(node[order[best[some]]])
-        empty = [np.zeros(0, np.int64)]
-        return np.concatenate(out_a or empty), np.concatenate(out_b or empty)
+        if out_a:
+            yield unique_pairs(out_a, out_b)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         size = 0
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            a, b = compare(rows.combine_chunks())
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
         for batch in slices(batches, "bits", 1 << 20):
             kept.append(batch)
             size += batch.column("bits").nbytes
@@ -253,11 +261,11 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
             grp = rows.column("grp").to_numpy()
             whole = int(np.argmax(grp == grp[-1]))  # the last group may go on
             if whole:
-                yield done(rows.slice(0, whole))
+                yield from compare(rows.slice(0, whole).combine_chunks())
                 kept = rows.slice(whole).to_batches()
                 size = sum(b.column("bits").nbytes for b in kept)
         if kept:
-            yield done(pa.Table.from_batches(kept))
+            yield from compare(pa.Table.from_batches(kept).combine_chunks())
 
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(work, "a long, b long")
 
@@ -292,8 +300,8 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     tokens, bits, second = sets.drop("bits"), sets.drop("tokens"), nodes.select("node", "pre2")
     tested = links = None
 
-    def linked(pairs: DataFrame) -> None:
-        """Compare new pairs (a, b) and contract what they link."""
+    def linked(pairs: DataFrame) -> int:
+        """Compare new pairs (a, b), contract what they link, and return the number of links."""
         nonlocal tested, links, buckets
         pairs = pairs.distinct()
         if tested is not None:
@@ -304,8 +312,11 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = stage(verify(pairs, tokens, percent), "links")
         links = new if links is None else links.unionByName(new)
+        if not (n_new := new.count()):
+            return 0
         comps = components(links).withColumnsRenamed({"comp": "new"})
         buckets = stage(buckets.join(comps, "node", "left").select("key", "node", "n_shingles", F.coalesce("new", "comp").alias("comp")), "buckets")
+        return n_new
 
     def mixed() -> DataFrame:
         """Buckets of several components, one of each set of nodes, with a hub."""
@@ -316,7 +327,8 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     star = buckets.join(mixed().select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
     star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
     linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
-    for round_ in range(NEAREST + 1):
+    n_nodes, round_ = sets.count(), 0
+    while round_ <= NEAREST:
         left = mixed()
         if not left.limit(1).count():
             break
@@ -330,7 +342,10 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(group).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_shingles", "comp", "bits")
-        linked(rest_of_buckets(rows, percent, round_ < NEAREST))
+        found = linked(rest_of_buckets(rows, percent, round_ < NEAREST))
+        if round_ < NEAREST and 100 * found < n_nodes:  # dense groups are contracted
+            round_ = NEAREST - 1
+        round_ += 1
     if links is None:
         return docs.sparkSession.createDataFrame([], "node long, comp long")
     return components(links)

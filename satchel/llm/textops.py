@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20  #: text handled at once in a Python worker; one longer text goes alone
+SLICE_BYTES = 4 << 20  #: text handled at once in a Python worker; one longer text goes alone
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
