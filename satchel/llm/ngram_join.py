@@ -132,7 +132,7 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Staged (node, tokens, bits): the sets of the nodes in ``wanted`` as sorted 8-byte hashes,
-    and their bit maps of four bits a token."""
+    and their bit maps of eight bits a token or more."""
     mask = bitmap(docs.sparkSession, wanted, "node")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def bits_of(own: np.ndarray) -> np.ndarray:
-    """Which of 4 n (a power of two, 64 at least) hash values the tokens have, as 64-bit words."""
-    size = max(64, 1 << (4 * len(own) - 1).bit_length())
+    """Which of 8 n (a power of two, 64 at least) hash values the tokens have, as 64-bit words."""
+    size = max(64, 1 << (8 * len(own) - 1).bit_length())
     at = (own >> np.uint64(7)) % np.uint64(size)
     out = np.zeros(size // 64, np.uint64)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
