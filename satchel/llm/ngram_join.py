@@ -37,6 +37,7 @@ FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 NEAREST = 3  #: rounds in which nodes meet their nearest only, before all that is left is compared
+COMPARED = 4 << 20  #: bytes of bit maps compared at once
 PAIRS = 1 << 19  #: pairs that a task holds before it sends them
 BLOCK = 2048  #: nodes of a bucket that one task compares with each other or with another block
 
@@ -227,7 +228,8 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 if not len(j):
                     continue
                 table, first = tables[words[k]]
-                differ = np.bitwise_count(table[j - first] ^ table[k - first]).sum(1, dtype=np.int64)
+                step = max(1, COMPARED // (8 * table.shape[1]))
+                differ = np.concatenate([np.bitwise_count(table[j[a : a + step] - first] ^ table[k - first]).sum(1, dtype=np.int64) for a in range(0, len(j), step)])
                 passed = may_link(differ, sizes[j] + sizes[k], percent)
                 j, differ = j[passed], differ[passed]
                 if not nearest:
