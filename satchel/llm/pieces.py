@@ -29,8 +29,10 @@ from satchel.llm.textops import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  #: how far an unknown character scores below the worst piece
-REMEMBERED = 150_000  #: segments of a generation; a worker keeps two, and drops the older one for a new one
-SEGMENTS = {True: re.compile(r" *[^ \n]+|\n| +"), False: re.compile(r" *[^ ]+| +")}
+REMEMBERED = 200_000  #: segments of a generation; a worker keeps two, and drops the older one for a new one
+LATIN = r"A-Za-zÀ-ÖØ-öø-ɏ"
+WORDS = re.compile(r" *[^ ]+| +")  #: cut before spaces
+RUNS = re.compile(rf" *[{LATIN}]+|\n| *[^ \n{LATIN}]+| +")  #: and at newlines and around Latin letters
 SHORT = 64  #: characters up to which a segment is solved at once and remembered
 CHECK = 32  #: characters between two looks for a common boundary
 
@@ -45,7 +47,9 @@ class Pieces:
         self.joined = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         #: No piece has a space after another character, so words with their spaces are apart.
         self.word_apart = not any(b == SPACE != a for a, b in self.joined)
-        self.segments = SEGMENTS[not any("\n" in pair for pair in self.joined)]
+        latin = re.compile(f"[{LATIN}]")
+        runs_apart = all(SPACE in pair or ("\n" not in pair and bool(latin.match(pair[0])) == bool(latin.match(pair[1]))) for pair in self.joined)
+        self.segments = RUNS if runs_apart else WORDS
         self.reach: dict[str, tuple[int, float] | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
         self.table = [b""] * size
         for piece, (i, _) in scores.items():
