@@ -23,13 +23,19 @@ _LOCAL: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str, str]] = []  # session, folder, scope
 _SCOPE = [""]
 
+ARROW_LIMIT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 #: Rows and bytes up to which a table counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where they share the driver's file system."""
+    """Let Python workers import this package where they share the driver's file system, and
+    bound what goes to them at once: unless the session has a limit of its own, Arrow batches
+    have ``ARROW_ROWS`` rows, since rows are whole texts or blocks."""
+    if spark.conf.get(ARROW_LIMIT) == "10000":
+        spark.conf.set(ARROW_LIMIT, ARROW_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     found = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in found.split(os.pathsep):
