@@ -14,6 +14,7 @@ from satchel.functions.formats import ArchiveError
 
 LEAF, INNER = 0x6C, 0x72  # fixed values of the serialised tree
 START = 0x46
+LARGE = 1 << 17  #: bits from which the larger table pays
 
 
 def tree_of(counts: np.ndarray):
@@ -96,6 +97,37 @@ def compress(block: bytes) -> tuple[bytes, bytes]:
     return pack_tree(tree), bytes([pad]) + b"".join(parts) + np.packbits(carry).tobytes()
 
 
+def _decode_runs(raw: bytes, n_bits: int, limit: int, symbol: np.ndarray, length: np.ndarray, width: int, out: bytearray) -> int:
+    """Decode with a table that gives all symbols of a window at once, up to the first code that
+    is longer than the window or near the end; returns the bits used."""
+    keys = np.arange(1 << width)
+    used, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    columns, alive = [], np.ones(len(keys), bool)
+    while True:
+        look = (keys << used) & (len(keys) - 1)
+        alive = alive & (length[look] > 0) & (used + length[look] <= width)
+        if not alive.any():
+            break
+        columns.append(np.where(alive, symbol[look], 0).astype(np.uint8))
+        count += alive
+        used += np.where(alive, length[look], 0)
+    flat, k = np.stack(columns, 1).tobytes(), len(columns)
+    runs = [flat[i * k : i * k + c] for i, c in enumerate(count.tolist())]
+    steps, mask, at = used.tolist(), len(keys) - 1, 0
+    while at + 64 <= n_bits and len(out) + 64 <= limit:
+        byte = at >> 3
+        window = int.from_bytes(raw[byte : byte + 8], "big")
+        left = start = 64 - (at & 7)
+        while left >= width:
+            key = window >> (left - width) & mask
+            if not steps[key]:
+                return at + start - left
+            out += runs[key]
+            left -= steps[key]
+        at += start - left
+    return at
+
+
 def decompress(metadata: bytes, payload: bytes, most: int | None = None) -> bytes:
     """The block; at most ``most`` bytes of it."""
     if not payload:
@@ -118,6 +150,8 @@ def decompress(metadata: bytes, payload: bytes, most: int | None = None) -> byte
     raw = payload[1:] + bytes(8)
     limit = n_bits if most is None else most
     out, at, symbols, lengths, mask = bytearray(), 0, symbol.tolist(), length.tolist(), (1 << width) - 1
+    if n_bits >= LARGE:
+        at = _decode_runs(raw, n_bits, limit, symbol, length, width, out)
     while at < n_bits and len(out) < limit:
         byte = at >> 3
         window = int.from_bytes(raw[byte : byte + 8], "big")

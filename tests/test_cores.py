@@ -39,6 +39,13 @@ def test_huffman_round_trip_and_size_law(block):
     assert len(metadata) == 4 * len(set(block)) - 1 and len(payload) == 1 + -(-bits // 8)
 
 
+@pytest.mark.parametrize("limit", [None, 0, 1, 50_000, 69_999])
+def test_huffman_large_block(limit):
+    rng = np.random.default_rng(1)
+    block = bytes(rng.choice(256, 70_000, p=rng.dirichlet(np.full(256, 0.05))).astype(np.uint8)) + bytes(range(256))
+    assert huffman.decompress(*huffman.compress(block), limit) == block[:limit]
+
+
 def test_huffman_long_codes():
     a, b, block = 1, 1, b""
     for k in range(26):
