@@ -324,17 +324,23 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         """Buckets of several components, one of each set of nodes, with a hub."""
         hub = F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node"))
         found = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), hub.alias("hub"))
-        return stage(found.where("x != y").groupBy("c", "same", "hub").agg(F.min("key").alias("key")), "mixed")
+        return found.where("x != y").groupBy("c", "same", "hub").agg(F.min("key").alias("key")).drop("same")
 
-    star = buckets.join(mixed().select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
+    def prune() -> DataFrame:
+        """Keep only buckets that still have pairs to compare, with their size c and hub."""
+        nonlocal buckets
+        rows = stage(buckets.join(mixed(), "key"), "rows")
+        buckets = rows.drop("c", "hub")
+        return rows
+
+    star = prune().where(F.col("comp") != F.col("hub.comp"))
     star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
     linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
     n_nodes, round_ = sets.count(), 0
     while round_ <= NEAREST:
-        left = mixed()
-        if not left.limit(1).count():
+        rows = prune().drop("hub")
+        if not rows.limit(1).count():
             break
-        rows = buckets.join(left.select("key", "c"), "key")
         if round_ < NEAREST:  # contracting dense groups takes one bucket of each node, the largest
             rows = rows.groupBy("node", "n_shingles", "comp").agg(F.max(F.struct("c", "key")).alias("m")).select("m.key", "m.c", "node", "n_shingles", "comp")
         rows = rows.join(bits, "node")
