@@ -250,8 +250,18 @@ def packed(spark: SparkSession, sf_dir: str, mode: int) -> tuple[str, str | None
 
 def unpacked(spark: SparkSession, sf_dir: str, mode: int) -> DataFrame:
     path, password = packed(spark, sf_dir, mode)
-    rows = archive.table(spark, path, "blocks", password).where("block_no = 0")  # these documents are one block each
-    return rows.select(F.substring("path", 5, 8).cast("long").alias("doc_id"), F.col("raw").cast("string").alias("text"))
+    return texts_of(archive.table(spark, path, "blocks", password))
+
+
+def texts_of(found: DataFrame) -> DataFrame:
+    """(doc_id, text) of the blocks (path, block_no, raw) of archived documents.
+
+    Bytes are joined as they are: a character may stand across two blocks.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("block_no", "raw")))
+    text = F.array_join(F.transform(ordered, lambda b: b["raw"].cast("string")), "")
+    doc_id = F.regexp_extract("path", "^doc/(.*)$", 1).cast("long")
+    return found.groupBy("path").agg(text.alias("text")).select(doc_id.alias("doc_id"), "text")
 
 
 def _round_trips() -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import formats
 from satchel.functions.formats import Entry
-from satchel.operators import archive, blocks, manifest, statistics
+from satchel.operators import archive, blocks, manifest, queries, statistics
 from satchel.plans.ordering import number_rows, running_sum
 from satchel.sources.archives import directory
 
@@ -73,6 +73,14 @@ def test_several_blocks_and_one_path(spark, tmp_path):
     assert {r.path: r.size for r in archive.table(spark, path, "entries").where("kind = 'file'").collect()} == {"a/x": 10_001, "b": 2, "c": 0}
 
 
+def test_documents_of_several_blocks(spark, tmp_path):
+    """Texts longer than a block, characters across blocks, and ids of more than eight digits."""
+    rows = [(1, "aé日" * (3 << 19)), (123_456_789, "long id"), (1_234_567_890_123, "x"), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["archive_roundtrip_pack"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t for i, t in rows if t} and len(got) == 3
+
+
 def test_many_folders(spark, tmp_path):
     """First directory blocks without files, and blocks that end next to empty folders."""
     names = [f"d{k:04d}" for k in range(1300)]
