@@ -41,6 +41,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of ``docs`` with ``rows`` (doc_id, text_hash); null ids match null."""
+    keys = small(stage(rows.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash_gone")).distinct(), "keys"), width=32)
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["__gone"]) & (ngram_join.text_hash() == keys["__hash_gone"]), how)
+
+
 @staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go.  Null and empty texts fail the rules."""
@@ -49,17 +55,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of the least doc_id stays.
+    """Of each component one document stays: that of the least doc_id, a null one last, and of
+    the least text hash among texts of that id.
 
-    Rows that repeat a doc_id and its text are one document; texts that differ under one doc_id
-    are kept or dropped together.
+    Rows that repeat a doc_id and its text are one document.  Empty texts are in no component.
     """
-    found = stage(ngram_join.join(docs, SHINGLE, PERCENT), "components")
-    left = without(docs, found.where("doc_id != component_id"))
-    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    found = ngram_join.members(docs, SHINGLE, PERCENT)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    grouped = found.where("comp is not null")
+    best = grouped.groupBy("comp").agg(F.min(key).alias("best"))
+    gone = grouped.join(best, "comp").where(key != F.col("best")).select("doc_id", "text_hash")
+    left = by_row(docs, gone, "left_anti")
+    again = stage(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "again")
     if again.limit(1).count():
-        twice = left.join(small(again), docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-        left = without(left, again).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+        twice = by_row(left, again, "left_semi")
+        left = by_row(left, again, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "text"]))
     return left
 
 

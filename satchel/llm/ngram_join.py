@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm.components import components
@@ -87,9 +87,14 @@ def inside(mask: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (mask[((tokens >> np.uint64(6)) % np.uint64(SLOTS)).astype(np.int64)] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
 
 
+def text_hash() -> Column:
+    """With doc_id the key of a row: rows that repeat both are one document."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Staged rows doc_id, n_shingles, node (null for empty sets), pre1 and pre2: the stored
-    prefix tokens under either order."""
+    """Staged rows doc_id, text_hash, n_shingles, node (null for empty sets), pre1 and pre2: the
+    stored prefix tokens under either order."""
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +130,10 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     kept.append(every[near[rank[near] > 0]].view(np.int64))
                 columns.append(pa.array(kept, pa.list_(pa.int64())))
             node = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size), node, *columns], ["doc_id", "n_shingles", "node", "pre1", "pre2"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(size), node, *columns], ["doc_id", "text_hash", "n_shingles", "node", "pre1", "pre2"])
 
-    schema = f"doc_id {kind}, n_shingles long, node long, pre1 array<long>, pre2 array<long>"
-    return stage(docs.select("doc_id", "text").mapInArrow(prefixes, schema), "described")
+    schema = f"doc_id {kind}, text_hash long, n_shingles long, node long, pre1 array<long>, pre2 array<long>"
+    return stage(docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(prefixes, schema), "described")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -376,6 +381,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return linked.unionByName(rows.where("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Staged (doc_id, text_hash, comp) of every row of ``docs``: the component by its least node,
+    null for empty sets, so that rows whose doc_id is null or repeated are told apart."""
+    described = describe(docs, n, percent)
+    comps = component_table(docs, described, n, percent)
+    rows = described.select("doc_id", "text_hash", "node").join(comps, "node", "left")
+    return stage(rows.select("doc_id", "text_hash", F.coalesce("comp", "node").alias("comp")), "members")
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)),

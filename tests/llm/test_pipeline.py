@@ -48,6 +48,17 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in kept[4]) == Counter(r.doc_id for r in kept[3]) and all(r.round_trip for r in kept[4])
 
 
+def test_one_row_of_each_group(spark, tmp_path):
+    """Ids that are null or stand on several texts: every group of near copies keeps one row."""
+    near = lambda text: " ".join([*text.split()[:-1], "changed"])
+    a, b, c, d = (prose(900 + k, 90) for k in range(4))
+    rows = [(7, a), (9, near(a)), (7, b), (3, near(b)), (1, c), (None, c), (None, near(c)), (None, d), (None, near(d)), (8, ""), (None, ""), (7, a)]
+    left = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs(spark, rows, clash=True), str(tmp_path)).collect()]
+    own = [x for x in left if x[1] in (d, near(d))]
+    assert len(own) == 1 and own[0][0] is None
+    assert Counter(x for x in left if x not in own) == Counter([(7, a), (3, near(b)), (1, c), (8, ""), (None, "")])
+
+
 def test_run_on_empty(spark, tmp_path):
     d = str(tmp_path)
     docs(spark, []).selectExpr("*", "'en' AS lang", "'s' AS source", "cast(0 as long) AS n_chars").write.parquet(f"{d}/documents.parquet")
