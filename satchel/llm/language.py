@@ -27,7 +27,7 @@ ROWS_PER_LANGUAGE = 800  #: sample of each language that fills the filters, chos
 SIZES = (3, 4)
 LEAST, SHARE = 3, 0.05
 PROBES = 3
-MOST_LANGUAGES = 64
+WORD = 64  #: languages of a mask; further languages have masks of their own
 _NO_LETTER = re.compile(r"[^\n\w]|[\d_]")
 
 
@@ -59,16 +59,22 @@ def grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class LanguageFilter:
-    """The bit-sliced filter: ``cells`` has a mask of languages in each place."""
+    """The bit-sliced filter: ``cells`` has an array for every ``WORD`` languages, with a mask of
+    them in each place.  ``masks`` are the keys' masks, a row for each array."""
 
     def __init__(self, languages: list[str], keys: np.ndarray, masks: np.ndarray, prior: int = 0) -> None:
         self.languages, self.prior = languages, prior
         self.bits = max(12, int(np.ceil(np.log2(max(len(keys), 1) * 8))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if t(0).nbytes * 8 >= len(languages))
-        self.cells = np.zeros(1 << self.bits, kind)
-        for place in self._places(keys):
-            np.bitwise_or.at(self.cells, place, masks.astype(kind))
-        full = np.array([((self.cells >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+        self.cells, full = [], []
+        for first, mask in zip(range(0, len(languages), WORD), np.atleast_2d(masks), strict=True):
+            size = min(WORD, len(languages) - first)
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if t(0).nbytes * 8 >= size)
+            cells = np.zeros(1 << self.bits, kind)
+            for place in self._places(keys):
+                np.bitwise_or.at(cells, place, mask.astype(kind))
+            self.cells.append(cells)
+            full += [((cells >> kind(k)) & kind(1)).mean() for k in range(size)]
+        full = np.array(full)
         self.false_rate = np.minimum(full**PROBES, 0.99)
 
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
@@ -76,11 +82,11 @@ class LanguageFilter:
         for k in range(PROBES):
             yield ((keys + np.uint64(k) * step) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        """All languages of each gram, as bits."""
-        out = None
+    def masks(self, keys: np.ndarray, number: int = 0) -> np.ndarray:
+        """All languages of each gram, as bits; of the array ``number``."""
+        out, cells = None, self.cells[number]
         for place in self._places(keys):
-            out = self.cells[place] if out is None else out & self.cells[place]
+            out = cells[place] if out is None else out & cells[place]
         return out
 
     def counts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,12 +94,14 @@ class LanguageFilter:
         whether the text has a letter."""
         words = Words(text)
         keys, owner, letters = grams(words.vocabulary.to_pylist())
-        masks, size = self.masks(keys), len(words.vocabulary)
+        masks, size = None, len(words.vocabulary)
         n = words.total(np.bincount(owner, minlength=size)) if size else np.zeros(len(text))
         found = np.zeros((len(text), len(self.languages)))
         for k in range(len(self.languages)):
             if size:
-                bit = (masks >> masks.dtype.type(k)) & masks.dtype.type(1)
+                if k % WORD == 0:
+                    masks = self.masks(keys, k // WORD)
+                bit = (masks >> masks.dtype.type(k % WORD)) & masks.dtype.type(1)
                 found[:, k] = words.total(np.bincount(owner, weights=bit, minlength=size))
         fixed = (found - n[:, None] * self.false_rate) / (1 - self.false_rate)
         has = words.total(letters.astype(float)) > 0 if size else np.zeros(len(text), bool)
@@ -109,18 +117,17 @@ class LanguageFilter:
 
 def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageFilter | None:
     """The filter of ``labelled`` rows (doc_id, text, lang), of which about ``rows`` per language
-    are used.  Beyond ``MOST_LANGUAGES`` the rarest languages are left out.  None if there is
-    nothing to learn from."""
+    are used.  Every language is learnt, however many there are.  None if there is nothing to
+    learn from."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
     languages = sorted(r.lang for r in sizes)
     share = {r.lang: min(1.0, rows / r.n) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for k in languages for x in (k, share[k])])[F.col("lang")]
+    table = labelled.sparkSession.createDataFrame([(x, k, share[x]) for k, x in enumerate(languages)], "lang string, k int, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    number = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])[F.col("lang")]
-    sample = known.where(draw < limit).select("text", number.alias("k"))
+    sample = known.join(F.broadcast(table), "lang").where(draw < F.col("share")).select("text", "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -143,8 +150,8 @@ def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageFilter |
     most = np.zeros(len(key))
     np.maximum.at(most, back, rate)
     own = rate >= SHARE * most[back]
-    masks = np.zeros(len(key), np.uint64)
-    np.bitwise_or.at(masks, back[own], np.uint64(1) << k[own].astype(np.uint64))
+    masks = np.zeros((-(-len(languages) // WORD), len(key)), np.uint64)
+    np.bitwise_or.at(masks, (k[own] // WORD, back[own]), np.uint64(1) << (k[own] % WORD).astype(np.uint64))
     prior = languages.index(sizes[0].lang)
     return LanguageFilter(languages, key.view(np.uint64), masks, prior)
 

@@ -317,6 +317,17 @@ def test_language_filter_has_no_false_negative():
         assert ((other >> k) & 1).mean() == pytest.approx(model.false_rate[k], abs=0.02)
 
 
+def test_more_languages_than_a_mask_holds(spark):
+    """130 languages with words of their own; the last by rank is known like the first."""
+    word = lambda k, j: "".join(chr(0x4E00 + 9 * k + (j + i) % 9) for i in range(5))
+    rows = [(100 * k + n, " ".join(word(k, j) for j in range(9)), f"l{k:03d}") for k in range(130) for n in range(4 + (k < 70))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.languages) == 130
+    found = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert found == {i: lang for i, _, lang in rows}
+
+
 def test_language_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.fit(none)
