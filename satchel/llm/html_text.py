@@ -5,8 +5,9 @@ node.  A presentation node's importance is the entropy of the child sequences th
 there, a content node's the entropy of its texts, both relative to the most they could be; what
 looks and reads alike on every page carries nothing.  Equal pages of a host count once.  From
 each page the branches of low importance go, as do elements whose tag, role or class says that
-they are menus, adverts, notices, forms, comments and the like.  Elements marked as the article
-are never judged by repetition, and where a page has one, text outside it goes.
+they are menus, adverts, notices, forms, comments and the like.  Inside the article only plain
+words of classes, or a whole id, say so.  Elements marked as the
+article are never judged by repetition, and where a page has one, text outside it goes.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ DROPPED_WORDS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "toolbar", "footer", "foot", "bottom", "copyright", "legal", "disclaimer", "sidebar", "aside", "widget", "widgets", "rail", "related", "recommended", "recommendations", "trending", "popular", "share", "sharing", "social", "follow",
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "login", "signin", "signup", "register", "search", "pagination", "pager", "hidden",
 }
+#: Words that an article's own parts are named by as well: they drop nothing inside the article.
+AMBIGUOUS_WORDS = {
+    "notice", "notices", "notification", "alert", "header", "masthead", "foot", "bottom", "copyright", "legal", "disclaimer", "rail", "related", "recommended", "recommendations", "trending", "popular", "share", "sharing", "social", "follow",
+    "cookie", "cookies", "consent", "menu", "navigation", "promotion", "subscription", "reply", "replies", "respond", "login", "register", "search", "hidden",
+}
 
 
 class Block:
@@ -59,12 +65,16 @@ class Block:
 def judge(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
     """Whether an element is dropped, whether it is the article, and its name in a path."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
-    name = " ".join(sorted(found.get("class", "").split())[:3])
+    name = " ".join(sorted(found.get("class", "").split()))
     words = {w.lower() for w in PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     role = found.get("role", "").lower()
     drop = tag in DROPPED_TAGS or role in DROPPED_ROLES or (tag == "header" and not inside_main)
     drop = drop or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    drop = drop or bool(words & DROPPED_WORDS and not (tag in ("article", "main", "body", "html") and not words & {"comment", "comments"}))
+    if inside_main:  # of ids only whole ones, since headings have slugs of their text
+        named = ({w.lower() for w in PART.findall(found.get("class", ""))} | {found.get("id", "").lower()}) & DROPPED_WORDS - AMBIGUOUS_WORDS
+    else:
+        named = words & DROPPED_WORDS
+    drop = drop or bool(named and not (tag in ("article", "main", "body", "html") and not words & {"comment", "comments"}))
     main = not drop and (tag in ("article", "main") or role in ("main", "article") or (tag in ("div", "section") and bool(words & {"article", "entry", "story"})))
     return drop, main, f"{tag}.{name}" if name else tag
 

@@ -293,6 +293,11 @@ def test_pages(spark, clash):
 # ---- op8
 
 
+def test_parts_of_articles_have_everyday_names():
+    found = html_text.parse('<article><h2 id="legal-status">A</h2><section id="search"><p>B</p></section><p class="share-prices">C</p><p class="a b c d">D</p><p class="a b c e">E</p></article>')[0]
+    assert not any(b.dropped for b in found) and len({b.path for b in found}) == 5
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_language(spark, clash):
     rng, letters, rows = random.Random(3), {"aa": "abcdefg", "bb": "defghijk", "cc": "äöüxyz"}, []
