@@ -6,8 +6,9 @@ there, a content node's the entropy of its texts, both relative to the most they
 looks and reads alike on every page carries nothing.  Equal pages of a host count once.  From
 each page the branches of low importance go, as do elements whose tag, role or class says that
 they are menus, adverts, notices, forms, comments and the like.  Inside the article only plain
-words of classes, or a whole id, say so.  Elements marked as the
-article are never judged by repetition, and where a page has one, text outside it goes.
+words of classes, or a whole id, say so.  Text that stands directly in an element marked as the article
+is not judged by repetition.  Text outside goes where such elements hold at least half of what the
+page has left; otherwise (cards beside an article in plain elements) the marks decide nothing.
 """
 
 from __future__ import annotations
@@ -54,12 +55,13 @@ AMBIGUOUS_WORDS = {
 
 
 class Block:
-    """A block's text pieces and the style path on which it stands."""
+    """A block's text pieces, the style path on which it stands, and whether it is in an article
+    (``main``) and directly in its root element."""
 
-    __slots__ = ("parts", "path", "dropped", "main", "words")
+    __slots__ = ("parts", "path", "dropped", "main", "root", "words")
 
-    def __init__(self, path: str, dropped: bool, main: bool) -> None:
-        self.parts, self.path, self.dropped, self.main, self.words = [], path, dropped, main, ""
+    def __init__(self, path: str, dropped: bool, main: bool, root: bool = False) -> None:
+        self.parts, self.path, self.dropped, self.main, self.root, self.words = [], path, dropped, main, root, ""
 
 
 def judge(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
@@ -83,7 +85,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """The blocks of a page and the child sequence of each path: the page's style tree."""
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, dropped, main
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, dropped, in an article: 1 its root, 2 below
     current: Block | None = None
     at, n = 0, len(page)
 
@@ -95,7 +97,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             if text.isspace():
                 return
             owner = next(x for x in reversed(stack) if x[0] not in INLINE)
-            current = Block(owner[1], stack[-1][2], owner[3])
+            current = Block(owner[1], stack[-1][2], owner[3] > 0, owner[3] == 1)
             blocks.append(current)
             children.setdefault(owner[1], []).append("#")
         current.parts.append(text)
@@ -146,10 +148,10 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             if tag in ENDS:
                 close(ENDS[tag], {"ul", "ol", "dl", "table", "select"} - ENDS[tag])
         _, path, dropped, main = stack[-1]
-        drop, is_main, name = judge(tag, attributes, main)
+        drop, is_main, name = judge(tag, attributes, main > 0)
         if tag not in INLINE:
             children.setdefault(path, []).append(name)
-        stack.append((tag, path if tag in INLINE else f"{path}>{name}", dropped or drop, main or is_main))
+        stack.append((tag, path if tag in INLINE else f"{path}>{name}", dropped or drop, 1 if is_main else 2 if main else 0))
     for block in blocks:
         block.words = " ".join(entities.unescape("".join(block.parts)).split())
     return [b for b in blocks if b.words], children
@@ -212,11 +214,12 @@ def extract(pages: DataFrame) -> DataFrame:
             out = []
             for page, noisy in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True):
                 blocks = [b for b in parse(page or "")[0] if not b.dropped]
-                if any(b.main for b in blocks):
-                    blocks = [b for b in blocks if b.main]
-                elif noisy and blocks:
+                if noisy and blocks:
                     bad = set(noisy)
-                    blocks = [b for b, path in zip(blocks, hashed([b.path for b in blocks]).tolist(), strict=True) if path not in bad]
+                    blocks = [b for b, path in zip(blocks, hashed([b.path for b in blocks]).tolist(), strict=True) if b.root or path not in bad]
+                inside = sum(len(b.words) for b in blocks if b.main)
+                if inside and 2 * inside >= sum(len(b.words) for b in blocks):
+                    blocks = [b for b in blocks if b.main]
                 out.append("\n".join(b.words for b in blocks))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

@@ -293,6 +293,18 @@ def test_pages(spark, clash):
 # ---- op8
 
 
+def test_pages_judge_inside_articles(spark):
+    """Repeated teasers inside articles go; parts of articles with everyday names stay."""
+    own = lambda k, part: prose(7000 + 10 * k + part, 30).replace("\n", " ")
+    page = lambda k: f"""<article><h2 id="legal-status">{own(k, 0)}</h2><section id="search"><p>{own(k, 1)}</p></section><p class="share-prices">{own(k, 2)}</p><div class="box">Read our teaser</div><p class="a b c d">{own(k, 3)}</p><p class="a b c e">Same on all</p></article>"""
+    cards = lambda k: f"<div><p>{own(k, 4)} {own(k, 5)}</p></div><article><p>{own(k, 6)[:30]}</p></article>"
+    rows = [(k, f"http://one/{k}", page(k)) for k in range(12)] + [(100 + k, f"http://two/{k}", cards(k)) for k in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == "\n".join(own(k, j) for j in range(4))
+        assert got[100 + k].startswith(f"{own(k, 4)} {own(k, 5)}")
+
+
 def test_parts_of_articles_have_everyday_names():
     found = html_text.parse('<article><h2 id="legal-status">A</h2><section id="search"><p>B</p></section><p class="share-prices">C</p><p class="a b c d">D</p><p class="a b c e">E</p></article>')[0]
     assert not any(b.dropped for b in found) and len({b.path for b in found}) == 5
