@@ -87,12 +87,16 @@ def write_archive(pieces_: DataFrame, path: str, overwrite: bool = False) -> Non
 
 
 def scan(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(files, folders) below roots.  Roots of one name collide; dangling links are an error."""
+    """(files, folders) below roots.  Roots of one name collide; dangling links and links to folders
+    are an error."""
     register(spark)
     seen = stage(spark.read.format("fstree").option("roots", "\n".join(dict.fromkeys(roots))).load(), "scan")
     if (link := seen.where("kind = 'link'").limit(1).collect()):
         raise ArchiveError(f"{link[0].full_path} is a symbolic link to nothing, which the format cannot hold")
 
+    if (link := seen.where("kind = 'dirlink'").limit(1).collect()):
+        raise ArchiveError(f"{link[0].full_path} is a symbolic link to a folder, which is not followed; name the folder as a root")
+
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):

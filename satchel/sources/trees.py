@@ -38,15 +38,17 @@ class TreeReader(DataSourceReader):
         while todo:
             path = todo.pop()
             name = os.path.relpath(os.path.abspath(path), base)
-            if os.path.isfile(path):
+            if os.path.islink(path) and os.path.isdir(path) and path != root:
+                yield part.number, name, path, "dirlink", 0
+            elif os.path.isfile(path):
                 yield part.number, name, path, "file", os.path.getsize(path)
             elif os.path.isdir(path):
                 yield part.number, name, path, "dir", 0
                 inside = os.scandir(path)
                 if part.deep:
-                    todo += [e.path for e in inside if not (e.is_symlink() and e.is_dir())]
+                    todo += [e.path for e in inside]
                 else:  # folders of the root are partitions of their own
-                    todo += [e.path for e in inside if not e.is_dir()]
+                    todo += [e.path for e in inside if not e.is_dir(follow_symlinks=False)]
             elif os.path.islink(path):
                 yield part.number, name, path, "link", 0
             # Anything else (sockets, devices) is no entry.

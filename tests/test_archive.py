@@ -109,6 +109,17 @@ def test_links(spark, tmp_path):
         archive.scan(spark, [str(tmp_path / "missing")])
 
 
+@pytest.mark.parametrize("at", ["r", "r/in"])
+def test_links_to_folders(spark, tmp_path, at):
+    """They are refused, at the root and below, and not left out in silence."""
+    for d in ("r/in", "other"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "other/f").write_bytes(b"x")
+    os.symlink(tmp_path / "other", tmp_path / at / "link")
+    with pytest.raises(formats.ArchiveError):
+        archive.scan(spark, [str(tmp_path / "r")])
+
+
 def container(entries, data=b""):
     body = b"".join(e.pack() for e in entries)
     return formats.pack_header(3, 19 + 25 + len(body) + 4) + formats.pack_separator(0) + body + formats.MAGIC.to_bytes(4, "little") + data
