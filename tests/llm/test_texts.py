@@ -72,6 +72,46 @@ def test_pieces_stream_commits_early():
     assert len(read) < 100
 
 
+def whole_lattice(p, text):
+    """Ids of the best path over the lattice of a whole text; ties go to the piece that starts first."""
+    chars = [None if c == pieces.SPACE else pieces.SPACE if c == " " else c for c in " " + text]
+    best, back = [0.0], [(0, -1)]
+    for end in range(1, len(chars) + 1):
+        top, came = -np.inf, (end - 1, -1)
+        for at in range(max(0, end - p.longest), end):
+            found = p.scores.get("".join(chars[at:end])) if None not in chars[at:end] else None
+            if found and best[at] + found[1] > top:
+                top, came = best[at] + found[1], (at, found[0])
+        best.append(top if top > -np.inf else best[end - 1] + p.floor)
+        back.append(came)
+    out, now = [], len(chars)
+    while now:
+        now, i = back[now][0], back[now][1] if back[now][1] >= 0 else [p.byte_ids[b] for b in (chars[now - 1] or pieces.SPACE).encode()]
+        out.insert(0, i)
+    return [i for x in out for i in (x if isinstance(x, list) else [x])]
+
+
+def test_pieces_streams_take_every_character(spark, vocabulary):
+    """All texts go through streams, many at once, and give the ids of the whole lattice."""
+    texts = odd_texts() + [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect() if len(r[0] or "") < 4000]
+    ids, at = vocabulary.encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole_lattice(vocabulary, t) if t else [] for t in texts]
+    chars = np.array([ord(c) for c in pieces.SPACE + ("word" + pieces.SPACE) * 3000])
+    streams = pieces.Streams(vocabulary, chars)
+    streams.run()
+    assert streams.seen == len(chars) and streams.kept < 200 and len(streams.start) > 10
+
+
+def test_pieces_one_stream_without_sure_boundaries():
+    """A text in which every two characters stand in a piece is one stream that commits on its way."""
+    p = pieces.Pieces({"a": (0, -1.0), "aa": (1, -1.5), "b": (2, -1.0), "ab": (3, -2.5), "ba": (4, -2.5), "bb": (5, -3.0)}, list(range(6, 262)), 0, 262)
+    chars = np.array([ord("aab"[k % 3]) for k in range(9000)])
+    streams = pieces.Streams(p, chars)
+    out = streams.run()
+    assert len(streams.start) == 1 and streams.seen == 9000 and streams.kept < 100
+    assert out[out >= 0].tolist() == list(p.stream(iter("aab" * 3000)))
+
+
 def test_pieces_rows(spark, vocabulary):
     out = pieces.encode(docs(spark, clash=True), vocabulary)
     got = out.collect()
