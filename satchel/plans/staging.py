@@ -24,6 +24,10 @@ _WRITTEN: list[tuple[SparkSession, str, str]] = []  # session, folder, scope
 _SCOPE = [""]
 
 ARROW_LIMIT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+ARROW_SIZE, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Python workers give memory back instead of keeping what their largest task took: arrays from
+#: 256 KB on are mapped apart, and Arrow takes its buffers from the same allocator.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 #: Rows and bytes up to which a table counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 2_000_000
@@ -32,10 +36,14 @@ BROADCAST_BYTES = 32 << 20
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where they share the driver's file system, and
-    bound what goes to them at once: unless the session has a limit of its own, Arrow batches
-    have ``ARROW_ROWS`` rows, since rows are whole texts or blocks."""
+    bound what goes to them at once and what they keep: unless the session has limits of its own,
+    Arrow batches have ``ARROW_ROWS`` rows and ``ARROW_BYTES``, since rows are whole texts or blocks."""
     if spark.conf.get(ARROW_LIMIT) == "10000":
         spark.conf.set(ARROW_LIMIT, ARROW_ROWS)
+    if int(spark.conf.get(ARROW_SIZE, str(2**31 - 1))) >= 64 << 20:
+        spark.conf.set(ARROW_SIZE, ARROW_BYTES)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root = str(Path(__file__).resolve().parents[2])
     found = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in found.split(os.pathsep):
