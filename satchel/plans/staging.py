@@ -26,8 +26,8 @@ _SCOPE = [""]
 ARROW_LIMIT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 ARROW_SIZE, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Python workers give memory back instead of keeping what their largest task took: arrays from
-#: 256 KB on are mapped apart, and Arrow takes its buffers from the same allocator.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: 8 MB on are mapped apart, 64 MB stay for reuse, and Arrow takes its buffers from the same allocator.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 #: Rows and bytes up to which a table counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 2_000_000
