@@ -48,8 +48,15 @@ def entry_length(kind: str, name_bytes: int) -> int:
     return name_bytes + (21 if kind == "file" else 9)
 
 
-def pack_header(strategy: int, data_offset: int) -> bytes:
-    return HEADER.pack(MAGIC, strategy, VERSION, HEADER.size, data_offset, MAGIC)
+#: Layouts by version.  Readers know what writers can write; a further version adds its own here.
+HEADERS = {VERSION: HEADER}
+
+
+def pack_header(strategy: int, data_offset: int, version: int = VERSION) -> bytes:
+    if version not in HEADERS:
+        raise ArchiveError(f"no header of version {version} can be written")
+    layout = HEADERS[version]
+    return layout.pack(MAGIC, strategy, version, layout.size, data_offset, MAGIC)
 
 
 def pack_separator(size: int, iv: bytes = NO_IV) -> bytes:
@@ -63,7 +70,7 @@ def unpack_header(raw: bytes) -> dict:
     first, strategy, version, length, offset, last = HEADER.unpack_from(raw)
     if first != MAGIC or last != MAGIC:
         raise ArchiveError("magic number is missing")
-    if version != VERSION or length != HEADER.size:
+    if version not in HEADERS or length != HEADERS[version].size:
         raise ArchiveError(f"version {version} with a header of {length} bytes is unknown")
     if offset >= 1 << 63 or offset < HEADER.size + 4:
         raise ArchiveError("data offset is out of range")

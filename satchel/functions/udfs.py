@@ -42,8 +42,9 @@ def huffman_decode(metadata: Column, payload: Column, most: Column) -> Column:
     return decode_with(huffman)(metadata, payload, most)
 
 
-def encrypt(data: Column, key: bytes, iv: Column | None = None) -> Column:
-    """IV and ciphertext.  Without a column of IVs each block draws its own."""
+def encrypt(data: Column, key: bytes, iv: Column | None = None, cipher=cipher) -> Column:
+    """IV and ciphertext under a cipher of ``plans.modes``.  Without a column of IVs each block
+    draws its own."""
     if iv is not None:
 
         @F.pandas_udf("binary")
@@ -68,7 +69,7 @@ def encrypt(data: Column, key: bytes, iv: Column | None = None) -> Column:
     return drawn.asNondeterministic()(data)
 
 
-def decrypt(data: Column, key: bytes) -> Column:
+def decrypt(data: Column, key: bytes, cipher=cipher) -> Column:
     @F.pandas_udf("binary")
     def undo(block: pd.Series) -> pd.Series:
         return pd.Series([None if b is None else cipher.decrypt(b, key) for b in block], dtype=object)

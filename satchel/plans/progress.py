@@ -13,6 +13,27 @@ from pyspark.sql import SparkSession
 EVERY_S, LEAST_STEP = 0.1, 5.0  #: a report at most so often, unless so many percent were done
 
 
+MAPPED_S, MAPPED_STEP = 0.2, 2.0  #: the same for callbacks of a part of a larger job
+
+
+def mapped(callback: Callable[[float, str], bool | None], low: float, high: float, every_s: float = MAPPED_S, least_step: float = MAPPED_STEP) -> Callable[[float, str], bool | None]:
+    """A callback for one part of a job: its 0 to 100 % are ``low`` to ``high`` % of the whole.
+
+    Reports that come sooner than ``every_s`` after the last one and are less than ``least_step``
+    beyond it are left out, but for the first and the end; a stop is never left out.
+    """
+    told = {"at": float("-inf"), "percent": float("-inf"), "go": None}
+
+    def report(percent: float, label: str) -> bool | None:
+        whole, now = low + (high - low) * min(max(percent, 0.0), 100.0) / 100.0, time.monotonic()
+        if percent < 100 and now - told["at"] < every_s and whole - told["percent"] < least_step:
+            return told["go"]
+        told.update(at=now, percent=whole, go=callback(whole, label))
+        return told["go"]
+
+    return report
+
+
 class Cancelled(RuntimeError):
     """The progress callback asked to stop."""
 

@@ -2,7 +2,8 @@
 
 ``table`` is ``header``, ``entries`` or ``blocks``.  Headers and entries are read by a task for
 each archive; blocks are split into partitions by file, whose places follow from the sizes in the
-directory.
+directory, and files above ``PART_BYTES`` by block, whose places follow from the frames' lengths.
+A directory is one chain of names and counts, so it is read as a whole: a few dozen bytes a file.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from satchel.functions import cipher
 from satchel.functions.formats import DATA_BLOCK, FRAME, HEADER, SEPARATED, ArchiveError, Entry, read_directory, safe_name, unpack_header
-from satchel.plans.modes import resolve
+from satchel.plans.modes import cipher_of, learn, resolve
 
 TABLES = {
     "header": "archive string, magic1 long, strategy short, version short, header_offset short, directory_offset long, magic2 long",
@@ -37,7 +37,7 @@ class Archive(InputPartition):
 class Files(InputPartition):
     path: str
     strategy: int
-    files: list[tuple[int, str, int, int, int]]  # number, path, offset, size, stored
+    files: list[tuple[int, str, int, int, int, int]]  # number, path, offset, first block, bytes from there on, stored
 
 
 def directory(path: str, password: str | None) -> tuple[dict, list[tuple[int, bytes, Entry, str, int]]]:
@@ -53,7 +53,7 @@ def directory(path: str, password: str | None) -> tuple[dict, list[tuple[int, by
     def decrypt(iv: bytes, data: bytes) -> bytes:
         if key is None:
             raise ArchiveError("an encrypted directory block in a mode without cipher")
-        return cipher.decrypt(iv + data, key)
+        return cipher_of(mode).decrypt(iv + data, key)
 
     out, owners, at, left = [], [], -1, 0
     for block, iv, entry in read_directory(raw, decrypt):
@@ -80,8 +80,8 @@ def directory(path: str, password: str | None) -> tuple[dict, list[tuple[int, by
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, table: str, paths: list[str], password: str | None, block_size: int) -> None:
-        self.table, self.paths, self.password, self.block_size, self.only = table, paths, password, block_size, None
+    def __init__(self, table: str, paths: list[str], password: str | None, block_size: int, modes: str = "") -> None:
+        self.table, self.paths, self.password, self.block_size, self.modes, self.only = table, paths, password, block_size, modes, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -92,6 +92,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.table != "blocks":
             return [Archive(p) for p in self.paths]
+        learn(self.modes)
         out: list[InputPartition] = []
         for path in self.paths:
             header, entries = directory(path, self.password)
@@ -101,8 +102,11 @@ class ArchiveReader(DataSourceReader):
                     continue
                 n = -(-e.size // self.block_size)
                 if e.size and (self.only is None or self.only == full):
-                    group.append((k, full, offset, e.size, e.stored))
-                    weight += e.stored
+                    if e.stored > PART_BYTES and n > 1:
+                        out += [Files(path, header["strategy"], [cut]) for cut in self.cuts(path, k, full, offset, e, n)]
+                    else:
+                        group.append((k, full, offset, 0, e.size, e.stored))
+                        weight += e.stored
                 offset += e.stored + 2 * n * FRAME.size
                 if weight >= PART_BYTES:
                     out.append(Files(path, header["strategy"], group))
@@ -111,7 +115,27 @@ class ArchiveReader(DataSourceReader):
                 out.append(Files(path, header["strategy"], group))
         return out or [Archive("")]
 
+    def cuts(self, path: str, number: int, full: str, offset: int, entry: Entry, n: int) -> Iterator[tuple[int, str, int, int, int, int]]:
+        """A long file in parts of whole blocks; only the frames' heads are read."""
+        with open(path, "rb") as f:
+            at, first, begin, stored, rest = offset, 0, offset, 0, entry.stored
+            for block_no in range(n):
+                for _ in range(2):
+                    f.seek(at)
+                    head = f.read(FRAME.size)
+                    if len(head) < FRAME.size or head[:1] != SEPARATED:
+                        raise ArchiveError("data block is broken")
+                    size = FRAME.unpack(head)[1]
+                    at, stored = at + FRAME.size + size, stored + size
+                if stored >= PART_BYTES or block_no == n - 1:
+                    end = min((block_no + 1) * self.block_size, entry.size)
+                    yield number, full, begin, first, end - first * self.block_size, stored
+                    first, begin, rest, stored = block_no + 1, at, rest - stored, 0
+            if rest:
+                raise ArchiveError(f"{full} has not the size that the directory says")
+
     def read(self, part: InputPartition) -> Iterator[tuple]:
+        learn(self.modes)
         if isinstance(part, Files):
             yield from self.read_blocks(part)
         elif part.path and self.table == "header":
@@ -135,14 +159,14 @@ class ArchiveReader(DataSourceReader):
                     raise ArchiveError("data block is cut short")
                 return data
 
-            for number, full, offset, size, stored in part.files:
+            for number, full, offset, first, size, stored in part.files:
                 f.seek(offset)
                 left = size
-                for block_no in range(-(-size // self.block_size)):
+                for block_no in range(first, first + -(-size // self.block_size)):
                     metadata, payload = framed(), framed()
                     stored -= len(metadata) + len(payload)
                     if key is not None:
-                        metadata, payload = cipher.decrypt(metadata, key), cipher.decrypt(payload, key)
+                        metadata, payload = cipher_of(mode).decrypt(metadata, key), cipher_of(mode).decrypt(payload, key)
                     raw = codec.decompress(metadata, payload, left)
                     left -= len(raw)
                     yield part.path, number, block_no, full, raw
@@ -152,42 +176,50 @@ class ArchiveReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    n: int  # bytes written
+    end: int  # where the last of them ends
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Writes rows (part, ord, bytes), which come in one sorted partition, to one new file."""
+    """Writes rows (part, ord, offset, bytes) to one new file, each at its offset.
+
+    All tasks write to one file beside the archive's place, which is renamed when every byte is
+    there.  A task that runs again writes the same bytes to the same places.
+    """
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
         if os.path.exists(path) and not overwrite:
             raise FileExistsError(path)
+        self.part = f"{path}.{uuid.uuid4().hex}.part"
 
     def write(self, rows: Iterator) -> Written:
-        part = f"{self.path}.{uuid.uuid4().hex}.part"
-        last = None
-        with open(part, "wb") as f:
+        n = end = 0
+        f = None
+        try:
             for row in rows:
-                if last is not None and (row["part"], row["ord"]) <= last:
-                    raise ArchiveError("pieces of an archive are out of order")
-                last = row["part"], row["ord"]
-                f.write(row["bytes"])
-        if last is None:
-            os.remove(part)
-            return Written("")
-        return Written(part)
+                if f is None:
+                    f = os.open(self.part, os.O_RDWR | os.O_CREAT, 0o666)
+                data, at = memoryview(row["bytes"]), row["offset"]
+                while len(data):
+                    done = os.pwrite(f, data, at)
+                    data, at, n = data[done:], at + done, n + done
+                end = max(end, at)
+        finally:
+            if f is not None:
+                os.close(f)
+        return Written(n, end)
 
     def commit(self, messages: list[Written | None]) -> None:
-        done = [m.path for m in messages if m and m.path]
-        if len(done) != 1:
+        done = [m for m in messages if m]
+        if not sum(m.n for m in done) or sum(m.n for m in done) != max(m.end for m in done):
             self.abort(messages)
-            raise ArchiveError("an archive is written by one task")
-        os.replace(done[0], self.path)
+            raise ArchiveError("pieces of an archive leave gaps or overlap")
+        os.replace(self.part, self.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        if os.path.exists(self.part):
+            os.remove(self.part)
 
 
 class ArchiveSource(DataSource):
@@ -205,7 +237,7 @@ class ArchiveSource(DataSource):
 
     def reader(self, schema: StructType) -> ArchiveReader:
         paths = sorted(glob.glob(self.options["path"])) or [self.options["path"]]
-        return ArchiveReader(self.options.get("table", "entries"), paths, self.options.get("password"), int(self.options.get("blockSize", DATA_BLOCK)))
+        return ArchiveReader(self.options.get("table", "entries"), paths, self.options.get("password"), int(self.options.get("blockSize", DATA_BLOCK)), self.options.get("modes", ""))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"], overwrite)

@@ -196,3 +196,90 @@ def test_blocks_and_statistics(spark):
     lengths = statistics.code_lengths(statistics.histogram(spark.createDataFrame([(b"abracadabra",)], "raw binary"), []))
     assert {chr(r.byte): r.code_len for r in lengths.collect()} == {"a": 1, "r": 2, "b": 3, "c": 4, "d": 4}
     assert struct.calcsize("<Q") == 8
+
+
+def test_files_are_read_block_by_block(spark, tmp_path):
+    """Ranged reads; what a file gains after the scan is left out, and a loss is an error."""
+    raw = os.urandom(10_001)
+    (tmp_path / "f").write_bytes(raw)
+    files, _ = archive.scan(spark, [str(tmp_path / "f")])
+    with open(tmp_path / "f", "ab") as f:
+        f.write(b"more" * 5000)
+    got = archive.file_blocks(files, 4096).orderBy("block_no").collect()
+    assert [len(r.raw) for r in got] == [4096, 4096, 1809] and b"".join(bytes(r.raw) for r in got) == raw
+    (tmp_path / "f").write_bytes(raw[:5000])
+    with pytest.raises(Exception, match="shorter"):
+        archive.file_blocks(files, 4096).collect()
+
+
+def test_long_files_are_split(spark, tmp_path, monkeypatch):
+    """A file above the partition size is read by several partitions, also encrypted."""
+    from satchel.sources import archives
+
+    raw = os.urandom(50_000) + b"x" * 50_000
+    (tmp_path / "f").write_bytes(raw)
+    (tmp_path / "g").write_bytes(b"small")
+    path = str(tmp_path / "x.sy")
+    archive.compress(spark, [str(tmp_path / "f"), str(tmp_path / "g")], path, 0, "pw", block_size=4096)
+    monkeypatch.setattr(archives, "PART_BYTES", 10_000)
+    reader = archives.ArchiveReader("blocks", [path], "pw", 4096)
+    parts = reader.partitions()
+    assert len(parts) > 4
+    got = sorted((full, no, bytes(b)) for p in parts for _, _, no, full, b in reader.read(p))
+    assert b"".join(b for full, _, b in got if full == "f") == raw and [b for full, _, b in got if full == "g"] == [b"small"]
+    rows = archive.table(spark, path, "blocks", "pw", 4096).where("path = 'f'").orderBy("block_no").collect()
+    assert b"".join(bytes(r.raw) for r in rows) == raw
+
+
+def test_sparse_file(spark, tmp_path):
+    """A file of many blocks goes through in blocks; memory does not grow with it."""
+    with open(tmp_path / "f", "wb") as f:
+        f.truncate(160 << 20)
+        f.seek(100 << 20)
+        f.write(b"middle")
+    path = str(tmp_path / "x.sy")
+    archive.compress(spark, [str(tmp_path / "f")], path, 3)
+    assert archive.restore(spark, path).count() == 1  # beside the archive
+    with open(tmp_path / "x" / "f", "rb") as f:
+        f.seek(100 << 20)
+        assert f.read(6) == b"middle" and os.path.getsize(f.name) == 160 << 20
+
+
+def test_own_cipher_and_version(spark, tmp_path):
+    from satchel.plans import modes
+
+    class Flip:
+        key_of = staticmethod(lambda password: bytes([len(password)]))
+        encrypt_many = staticmethod(lambda parts, key, ivs: [bytes(b ^ key[0] for b in p) for p in parts])
+        decrypt = staticmethod(lambda data, key: bytes(b ^ key[0] for b in data[16:]))
+
+    with pytest.raises(ValueError):
+        modes.register_cipher("rows", Flip)
+    modes.register_cipher("flip", Flip)
+    modes.register_mode(200, "Flipped", "huffman", cipher="flip")
+    (tmp_path / "a").write_bytes(b"hello" * 100)
+    path = str(tmp_path / "x.sy")
+    archive.compress(spark, [str(tmp_path / "a")], path, "Flipped", "secret")
+    assert bytes(archive.table(spark, path, "blocks", "secret").first().raw) == b"hello" * 100
+    assert archive.inspect(spark, path).first().mode == "Flipped"
+    with pytest.raises(formats.ArchiveError):
+        archive.compress(spark, [str(tmp_path / "a")], str(tmp_path / "y.sy"), 1, version=7)
+    del modes.MODES[200]
+
+
+def test_strict_dispatch(spark):
+    from satchel.plans import modes
+
+    ids = spark.range(4).select(F.col("id").cast("int").alias("i"))
+    assert [r.m for r in ids.select(modes.dispatch(F.col("i"), strict=True).alias("m")).collect()] == ["HuffmanAES", "HuffmanOnly", "AESOnly", "PackOnly"]
+    with pytest.raises(Exception, match="unknown mode"):
+        spark.range(99, 100).select(modes.dispatch(F.col("id").cast("int"), strict=True)).collect()
+
+
+def test_mapped_progress():
+    from satchel.plans.progress import mapped
+
+    told = []
+    report = mapped(lambda percent, label: told.append((percent, label)) or len(told) < 4, 20, 95, every_s=60)
+    assert all(report(p, "x") is True for p in (0, 1, 2, 50, 51, 100))
+    assert [round(p, 2) for p, _ in told] == [20.0, 57.5, 95.0] and told[0][1] == "x"
