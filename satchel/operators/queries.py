@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.functions.cipher import key_of
 from satchel.functions.udfs import decrypt, encode_with, encrypt, huffman_decode, huffman_encode, key_column
 from satchel.operators import archive, blocks, manifest, statistics
 from satchel.plans import modes
@@ -146,7 +147,7 @@ def fixed_iv(key: str) -> Column:
 
 @query("SELECT doc_id, text FROM documents")
 def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = modes.key_of(PASSWORD)
+    key = key_of(PASSWORD)
     sealed = texts(spark, sf_dir).select("doc_id", encrypt(F.col("raw"), key, fixed_iv("doc_id")).alias("sealed"))
     return sealed.select("doc_id", decrypt(F.col("sealed"), key).cast("string").alias("text"))
 
@@ -154,7 +155,7 @@ def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cipher_ciphertext(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("r_name").cast("binary")
-    return table(spark, sf_dir, "region").select("r_regionkey", F.hex(encrypt(raw, modes.key_of(PASSWORD), fixed_iv("r_regionkey"))).alias("sealed"))
+    return table(spark, sf_dir, "region").select("r_regionkey", F.hex(encrypt(raw, key_of(PASSWORD), fixed_iv("r_regionkey"))).alias("sealed"))
 
 
 def url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
