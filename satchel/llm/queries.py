@@ -40,7 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside a 10-word window of a benchmark item."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

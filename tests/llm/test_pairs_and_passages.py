@@ -172,6 +172,47 @@ def test_decontamination(spark, clash):
     assert got == brute_hits(rows, items)
 
 
+def test_decontamination_rows_of_one_id(spark):
+    """An id on several texts has the hits of each text, and long items and texts are no squares."""
+    item = prose(91, 5000, vocabulary=3000)
+    rows = edge_rows() + [(30, " ".join(item.split()[700:760])), (30, "nothing of it"), (31, item), (None, item)]
+    items = [*benchmark_rows(), (50, item)]
+    found = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = rows_of(found, "doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert [r for r in got if r[0] != 12] == brute_hits([r for r in rows if r[0] != 12], items)
+
+
+def brute_near(rows, items):
+    freq = Counter(t for _, text in rows for t in tokens(text))
+    out = Counter()
+    for doc_id, text in rows:
+        w = tokens(text)
+        for item_id in {i for i, _ in items}:
+            near = False
+            for x in (tokens(t) for i, t in items if i == item_id):
+                m = min(10, len(x))
+                for a in range(len(x) - m + 1 if m else 0):
+                    own = x[a : a + m]
+                    rare = min(own, key=lambda t: (freq[t], own.index(t)))
+                    near |= any(w[p] == rare and set(own) <= set(w[max(0, p - 9) : p + 10]) for p in range(len(w)))
+            out[doc_id, text or ""] += near
+    return out
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_near_items_by_brute_force(spark, monkeypatch, together):
+    """Both ways to build the index, with terms broadcast and with terms shuffled."""
+    if not together:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    rows = [r for r in edge_rows() if r[0] != 12] + [(22, " ".join(prose(77, 30).split()[::-1])), (23, prose(77, 30) + " tail")]
+    items = benchmark_rows()
+    found = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit) for r in found) == Counter(r[:3] for r in brute_hits(rows, items))
+    want, times = brute_near(rows, items), Counter((i, t or "") for i, t in rows)
+    assert sum(r.n_near for r in found) == sum(want.values())
+    assert {(r.doc_id, r.n_words, r.n_near) for r in found} == {(i, len(tokens(t)), want[i, t] // times[i, t]) for i, t in times}
+
+
 def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {tuple(r) for r in decontaminate.contamination(docs(spark), none).select("n_hit", "contaminated").collect()} == {(0, False)}
