@@ -12,9 +12,10 @@ text has few contexts for its length.
    each context is fetched, and the suffixes of this dictionary are sorted by prefix doubling, up
    to ``LENGTH`` bytes; the parse's counts are added up over equal neighbours, which is the order
    of the corpus, made from dictionary and parse.  Runs whose rank two places share are repeats.
-   Groups of over ``SORTED`` contexts compare 128 bits of hash (trigger and run) instead of ranks.
-3. A trigger with more than ``MANY`` contexts would put an unbounded group into one task; its runs
-   are counted one by one in the cluster, by the same hashes.
+3. A trigger with more than ``MANY`` contexts would put an unbounded group into one task.  Such
+   triggers are known from a count by trigger before any row is dealt by it; their contexts are
+   counted by context, and their runs one by one in the cluster, by 128 bits of hash (trigger and
+   run).
 
 Triggers that occur once, most of a varied corpus, never leave the first count.
 """
@@ -27,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.llm.textops import mix, slices
-from satchel.plans.staging import stage
+from satchel.plans.staging import small, stage
 
 LENGTH, GRAM = 200, 32
-SORTED, MANY = 2_000, 30_000
+MANY = 2_000  #: contexts of a trigger that one task sorts
 BLOCK = 1 << 20  #: bytes hashed at once
 SORT_BYTES = 1 << 20  #: dictionary text sorted at once
 PORTION = 1 << 20  #: triggers that a task counts before it sends their counts
@@ -189,17 +190,11 @@ def _runs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, owner, number, (np.cumsum(size) - size)[owner] + number
 
 
-def _judge(rows: pa.Table, by_hash: bool) -> pa.RecordBatch:
+def _judge(rows: pa.Table) -> pa.RecordBatch:
     """Repeated runs of contexts that occur once (n = 1); whole groups of a key at a time."""
     data, owner, number, at = _runs_of(rows)
-    n, key = rows.column("n").to_numpy(), rows.column("key").to_numpy()
-    if by_hash:
-        order = np.lexsort((fp := Rolling(data).hash(at, at + LENGTH), key[owner]))
-        new = np.append(False, (fp[order][1:] != fp[order][:-1]) | (key[owner[order]][1:] != key[owner[order]][:-1]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new)
-    else:
-        rank = suffix_ranks(data, at)
+    n = rows.column("n").to_numpy()
+    rank = suffix_ranks(data, at)
     hit = (np.bincount(rank, weights=n[owner])[rank] > 1) & (n[owner] == 1) if len(rank) else np.zeros(0, bool)
     some, count = np.unique(owner[hit], return_counts=True)
     starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(number[hit].astype(np.int32)))
@@ -237,16 +232,8 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = there[np.searchsorted(there, first).clip(max=max(len(there) - 1, 0))] if len(there) else first
         good = n > 0  # a bit map's false positive has no count
         picked = rows.take(pa.array(text[good])).set_column(2, "n", pa.array(n[good]))
-        own = picked.column("key").to_numpy()
-        start = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
-        large = np.flatnonzero(np.diff(start) > SORTED)
-        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
-            yield _judge(picked.slice(a, b - a), True)
-        small = np.ones(len(own), bool)
-        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
-            small[a:b] = False
-        if small.any():
-            yield _judge(picked.filter(pa.array(small)), False)
+        if picked.num_rows:
+            yield _judge(picked)
 
 
 def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,23 +244,34 @@ def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*columns, pa.array(number.astype(np.int32)), pa.array(fp.view(np.int64))], ["key", "ctx", "n", "number", "fp"])
 
 
-def reference(docs: DataFrame) -> DataFrame:
-    """(ref, text): ref stands for a document's id and text; rows equal in both share it."""
+def _identity() -> tuple[Column, Column]:
+    """128 bits that stand for a document's id and text; rows equal in both share them."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("ref"), text.alias("text"))
+    return F.xxhash64("doc_id", text).alias("ref"), F.xxhash64(text, F.lit("other"), "doc_id").alias("more")
+
+
+def reference(docs: DataFrame) -> DataFrame:
+    """(ref, more, text), see ``_identity``."""
+    return docs.select(*_identity(), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def repeated_runs(docs: DataFrame, many: int = MANY) -> DataFrame:
-    """Where runs of ``LENGTH`` bytes start that start anywhere else too: ref (of ``reference``),
+    """Where runs of ``LENGTH`` bytes start that start anywhere else too: ref and more (of ``reference``),
     place (the first start << 16 | the number of starts) and starts (those that repeat; null for
     all)."""
     keyed = reference(docs)
     counted = keyed.mapInArrow(_count, "key long, ctx long, n long, ref long")
-    # Rows are counted within tasks, so the hottest trigger has a row for each task at most.
-    parse = counted.repartition("key").groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("ref").alias("ref"))
+    total, variants = F.sum("n"), F.count("*")
+    # Contexts are counted within tasks before; a trigger of few rows is counted in one task whole.
+    hot_keys = small(stage(counted.groupBy("key").agg(variants.alias("c")).where(F.col("c") > many).select("key"), "hot"))
     of_key = Window.partitionBy("key")
-    parse = parse.withColumn("total", F.sum("n").over(of_key)).withColumn("variants", F.count("*").over(of_key)).where("total > 1")
-    parse = stage(parse.select("key", "ctx", "n", "ref", "variants"), "parse")
+    cold = counted.join(hot_keys, "key", "left_anti").repartition("key").groupBy("key", "ctx").agg(total.alias("n"), F.min("ref").alias("ref"))
+    parse = cold.withColumn("total", F.sum("n").over(of_key)).withColumn("variants", variants.over(of_key)).where("total > 1").select("key", "ctx", "n", "ref", "variants")
+    if hot_keys.limit(1).count():
+        hottest = stage(counted.join(hot_keys, "key", "left_semi").groupBy("key", "ctx").agg(total.alias("n"), F.min("ref").alias("ref")), "hottest")
+        sizes = small(stage(hottest.groupBy("key").agg(variants.alias("variants")), "sizes"))
+        parse = parse.unionByName(hottest.join(sizes, "key").select("key", "ctx", "n", "ref", "variants"))
+    parse = stage(parse, "parse")
     spread = parse.where("variants > 1")
     wanted = _bitmap(spread, "ctx ^ ref")
 
@@ -309,10 +307,11 @@ def repeated_runs(docs: DataFrame, many: int = MANY) -> DataFrame:
             t = triggers(data, begin)
             pick = np.flatnonzero(_inside(marked.value, t["ctx"]))
             place = (t["lo"][pick] + offset) << 16 | t["runs"][pick]
-            yield pa.record_batch([pa.array(batch.column("ref").to_numpy()[t["doc"][pick]]), pa.array(place), pa.array(t["key"][pick]), pa.array(t["ctx"][pick])], ["ref", "place", "key", "ctx"])
+            owner = t["doc"][pick]
+            yield pa.record_batch([*(pa.array(batch.column(c).to_numpy()[owner]) for c in ("ref", "more")), pa.array(place), pa.array(t["key"][pick]), pa.array(t["ctx"][pick])], ["ref", "more", "place", "key", "ctx"])
 
-    found = keyed.mapInArrow(places, "ref long, place long, key long, ctx long")
-    return found.join(marks, ["key", "ctx"]).select("ref", "place", "starts")
+    found = keyed.mapInArrow(places, "ref long, more long, place long, key long, ctx long")
+    return found.join(marks, ["key", "ctx"]).select("ref", "more", "place", "starts")
 
 
 def deduplicate(docs: DataFrame, many: int = MANY) -> DataFrame:
@@ -320,11 +319,13 @@ def deduplicate(docs: DataFrame, many: int = MANY) -> DataFrame:
     of (start, end) of the maximal removed runs in bytes.
 
     Null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all.  Repeated rows
-    repeat each other's text and so lose what is long enough.  Other columns are ignored.
+    repeat each other's text and so lose what is long enough.  Very long texts are parsed in
+    overlapping pieces.  Of equal hashes the leftmost is the trigger.  An empty table gives no
+    rows; other columns are ignored.
     """
-    found = repeated_runs(docs, many).groupBy("ref").agg(F.collect_set(F.struct("place", "starts")).alias("found"))
+    found = repeated_runs(docs, many).groupBy("ref", "more").agg(F.collect_set(F.struct("place", "starts")).alias("found"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("ref"), text.alias("text")).join(found, "ref", "left").select("doc_id", "text", "found")
+    rows = docs.select("doc_id", *_identity(), text.alias("text")).join(found, ["ref", "more"], "left").select("doc_id", "text", "found")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
