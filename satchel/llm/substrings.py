@@ -12,10 +12,12 @@ text has few contexts for its length.
    each context is fetched, and the suffixes of this dictionary are sorted by prefix doubling, up
    to ``LENGTH`` bytes; the parse's counts are added up over equal neighbours, which is the order
    of the corpus, made from dictionary and parse.  Runs whose rank two places share are repeats.
-3. A trigger with more than ``MANY`` contexts would put an unbounded group into one task.  Such
-   triggers are known from a count by trigger before any row is dealt by it; their contexts are
-   counted by context, and their runs one by one in the cluster, by 128 bits of hash (trigger and
-   run).
+   Groups of over ``SORTED`` contexts compare 128 bits of hash (trigger and run) instead of ranks.
+3. A trigger with more than ``MANY`` contexts would put an unbounded group into one task; its runs
+   are counted one by one in the cluster, by the same hashes.
+
+Rows are dealt by trigger, but for those that have ``DENSE`` contexts within any ``PORTION`` of the
+corpus: they are found first and dealt by context.  Any other trigger has under one in 16,000 rows.
 
 Triggers that occur once, most of a varied corpus, never leave the first count.
 """
@@ -35,7 +37,8 @@ from satchel.llm.textops import mix, slices
 from satchel.plans.staging import small, stage
 
 LENGTH, GRAM = 200, 32
-MANY = 2_000  #: contexts of a trigger that one task sorts
+SORTED, MANY = 2_000, 30_000
+DENSE = 64  #: contexts of a trigger in one portion from which it is counted by context
 BLOCK = 1 << 20  #: bytes hashed at once
 SORT_BYTES = 1 << 20  #: dictionary text sorted at once
 PORTION = 1 << 20  #: triggers that a task counts before it sends their counts
@@ -143,13 +146,20 @@ def _grown(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, ctx, n, ref) once for each context in a portion of the task's texts."""
+def _count(batches: Iterator[pa.RecordBatch], dense: bool = False) -> Iterator[pa.RecordBatch]:
+    """(key, ctx, n, ref) once for each context in a portion of the task's texts; with ``dense``
+    only the keys (key) that have many contexts there."""
     kept: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def work() -> pa.RecordBatch:
         key, ctx, ref = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if dense:  # as many rows as contexts are a quick upper bound
+            value, times = np.unique(key, return_counts=True)
+            some = np.isin(key, value[times >= DENSE])
+            pairs = np.unique(np.stack([key[some], ctx[some]]), axis=1)[0]
+            value, times = np.unique(pairs, return_counts=True)
+            return pa.record_batch([pa.array(value[times >= DENSE])], ["key"])
         order = np.lexsort((ref, ctx, key))
         key, ctx, ref = key[order], ctx[order], ref[order]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -190,11 +200,17 @@ def _runs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, owner, number, (np.cumsum(size) - size)[owner] + number
 
 
-def _judge(rows: pa.Table) -> pa.RecordBatch:
+def _judge(rows: pa.Table, by_hash: bool) -> pa.RecordBatch:
     """Repeated runs of contexts that occur once (n = 1); whole groups of a key at a time."""
     data, owner, number, at = _runs_of(rows)
-    n = rows.column("n").to_numpy()
-    rank = suffix_ranks(data, at)
+    n, key = rows.column("n").to_numpy(), rows.column("key").to_numpy()
+    if by_hash:
+        order = np.lexsort((fp := Rolling(data).hash(at, at + LENGTH), key[owner]))
+        new = np.append(False, (fp[order][1:] != fp[order][:-1]) | (key[owner[order]][1:] != key[owner[order]][:-1]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+    else:
+        rank = suffix_ranks(data, at)
     hit = (np.bincount(rank, weights=n[owner])[rank] > 1) & (n[owner] == 1) if len(rank) else np.zeros(0, bool)
     some, count = np.unique(owner[hit], return_counts=True)
     starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(number[hit].astype(np.int32)))
@@ -232,8 +248,16 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = there[np.searchsorted(there, first).clip(max=max(len(there) - 1, 0))] if len(there) else first
         good = n > 0  # a bit map's false positive has no count
         picked = rows.take(pa.array(text[good])).set_column(2, "n", pa.array(n[good]))
-        if picked.num_rows:
-            yield _judge(picked)
+        own = picked.column("key").to_numpy()
+        start = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
+        large = np.flatnonzero(np.diff(start) > SORTED)
+        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
+            yield _judge(picked.slice(a, b - a), True)
+        small = np.ones(len(own), bool)
+        for a, b in zip(start[large].tolist(), start[large + 1].tolist(), strict=True):
+            small[a:b] = False
+        if small.any():
+            yield _judge(picked.filter(pa.array(small)), False)
 
 
 def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +286,8 @@ def repeated_runs(docs: DataFrame, many: int = MANY) -> DataFrame:
     keyed = reference(docs)
     counted = keyed.mapInArrow(_count, "key long, ctx long, n long, ref long")
     total, variants = F.sum("n"), F.count("*")
-    # Contexts are counted within tasks before; a trigger of few rows is counted in one task whole.
-    hot_keys = small(stage(counted.groupBy("key").agg(variants.alias("c")).where(F.col("c") > many).select("key"), "hot"))
+    dense = keyed.mapInArrow(lambda batches: _count(batches, True), "key long").distinct()
+    hot_keys = small(stage(dense, "hot"))
     of_key = Window.partitionBy("key")
     cold = counted.join(hot_keys, "key", "left_anti").repartition("key").groupBy("key", "ctx").agg(total.alias("n"), F.min("ref").alias("ref"))
     parse = cold.withColumn("total", F.sum("n").over(of_key)).withColumn("variants", variants.over(of_key)).where("total > 1").select("key", "ctx", "n", "ref", "variants")

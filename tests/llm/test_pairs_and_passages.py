@@ -113,6 +113,13 @@ def test_substrings(spark, many):
     assert rows_of(substrings.deduplicate(docs(spark, rows), many), *COLUMNS) == brute_removed(rows)
 
 
+def test_substrings_dense_trigger(spark):
+    """A passage with hundreds of different neighbours: its triggers are counted by context."""
+    common = prose(50, 60)
+    rows = [(k, f"{prose(4000 + k, 9)} {common[k % 7 :]} {prose(5000 + k, 9)}") for k in range(300)]
+    assert rows_of(substrings.deduplicate(docs(spark, rows)), *COLUMNS) == brute_removed(rows)
+
+
 def test_substrings_long_text_in_pieces(spark, monkeypatch):
     """A text beyond a block parses in pieces and still meets its copy elsewhere."""
     text = prose(8, 250_000)
