@@ -2,8 +2,8 @@
 
 The field tags each word as clean or toxic.  Words are described by their normalised form and
 its prefixes; a transition matrix links neighbours.  Token labels come from labelled documents:
-in documents labelled toxic, words with a form or prefix that is much more common there than in
-clean documents.  Training maximises the likelihood of these tags; forward-backward marginals
+in documents labelled toxic, words with a form or prefix that many more of them have, or have
+repeatedly, than clean documents.  Training maximises the likelihood of these tags; forward-backward marginals
 of a document are then aggregated to a score by a logistic function fitted on the same sample,
 and words whose marginal is at least one half give the offending offsets.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from satchel.llm.textops import Words, slices
 
 FIT_ROWS = 1_500  #: labelled documents of either class that fit the model, by hash of the id
+FIT_CHARS = 20_000  #: longer texts fit nothing, so that the sample's bytes are bounded as well
 PREFIXES = (3, 4, 5, 6)
 MIN_DOCS, MIN_ODDS = 4, 3.0  #: what makes a form or prefix toxic evidence
 CHUNK = 128
@@ -152,23 +153,28 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> ToxicModel:
                 rows.append(row)
                 ids.append(names.setdefault(value, len(names)))
     rows, ids = np.array(rows, np.int64), np.array(ids, np.int64)
-    # Documents of either class that have each form: distinct (document, form) pairs.
-    seen = np.unique(words.doc.astype(np.int64) << 32 | words.code)
+    # Documents of either class that have each form: (document, form) pairs and how often.
+    seen, often = np.unique(words.doc.astype(np.int64) << 32 | words.code, return_counts=True)
     order = np.argsort(rows, kind="stable")
     start = np.searchsorted(rows[order], np.arange(len(words.vocabulary) + 1))
     code, doc = seen & 0xFFFFFFFF, seen >> 32
     count = (start[1:] - start[:-1])[code]
     at = np.repeat(start[:-1][code] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    pair = np.unique(np.repeat(doc, count) << 32 | ids[order][at])
-    in_toxic = toxic[pair >> 32]
-    with1 = np.bincount((pair & 0xFFFFFFFF)[in_toxic], minlength=len(names))
-    with0 = np.bincount((pair & 0xFFFFFFFF)[~in_toxic], minlength=len(names))
-    odds = np.log((with1 + 0.5) / (n1 + 1)) - np.log((with0 + 0.5) / (n0 + 1))
-    # Likelihood ratio of "toxic share differs"; it must stand out among all forms looked at.
-    part = lambda k, p: k * np.log(np.maximum(k, 1e-9) / np.maximum((with1 + with0) * p, 1e-9))
-    ratio = 2 * (part(with1, n1 / len(texts)) + part(with0, n0 / len(texts)))
-    use = with1 >= MIN_DOCS
-    odds[ratio < 2 * np.log(10 * max(use.sum(), 1))] = -np.inf
+    pair, back = np.unique(np.repeat(doc, count) << 32 | ids[order][at], return_inverse=True)
+    often = np.bincount(back, weights=np.repeat(often, count), minlength=len(pair))
+    use = np.bincount((pair & 0xFFFFFFFF)[toxic[pair >> 32]], minlength=len(names)) >= MIN_DOCS
+    odds = np.full(len(names), -np.inf)
+    for least in (1, 2):  # a form that clean documents have by chance may stand out where it is repeated
+        held = pair[often >= least]
+        in_toxic = toxic[held >> 32]
+        with1 = np.bincount((held & 0xFFFFFFFF)[in_toxic], minlength=len(names))
+        with0 = np.bincount((held & 0xFFFFFFFF)[~in_toxic], minlength=len(names))
+        own = np.log((with1 + 0.5) / (n1 + 1)) - np.log((with0 + 0.5) / (n0 + 1))
+        # Likelihood ratio of "toxic share differs"; it must stand out among all forms looked at.
+        part = lambda k, p: k * np.log(np.maximum(k, 1e-9) / np.maximum((with1 + with0) * p, 1e-9))  # noqa: B023, E731
+        ratio = 2 * (part(with1, n1 / len(texts)) + part(with0, n0 / len(texts)))
+        own[(ratio < 2 * np.log(10 * max(use.sum(), 1))) | (with1 < MIN_DOCS)] = -np.inf
+        odds = np.maximum(odds, own)
     number = np.cumsum(use) - 1
     keep = use[ids]
     rows, ids = rows[keep], number[ids[keep]]
@@ -210,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicModel
     if len(sizes) < 2:
         return None
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("text", "toxic").collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS).select("text", "toxic").collect()
     sample.sort(key=lambda r: (r.toxic, r.text or ""))
     toxic = np.array([r.toxic == 1 for r in sample], bool)
     if not toxic.any() or toxic.all():
@@ -223,8 +229,9 @@ def tag(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     code points, end exclusive.
 
     Null and empty texts have no words: they get the score of a text without toxic words.
-    Without a model all scores are 0.  Repeated rows are scored apart and alike; other columns
-    are ignored.
+    Without a model all scores are 0.  Repeated rows are scored apart and alike, an empty table
+    gives no rows, and other columns are ignored.  A very long text is scored whole; its chunks
+    take about 100 bytes a word.
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 

@@ -293,6 +293,36 @@ def test_toxicity(spark, clash):
             assert re.search("wretch|zounds|blackguard", text[r.doc_id][s.start : s.end].lower()) and s.p >= 0.5
 
 
+def test_toxicity_score_by_brute_force():
+    """Scores of whole texts follow from the plain recursion and the logistic function."""
+    texts = [prose(k, 40) + (" zounds, wretch zounds" if k % 3 == 0 else "") for k in range(60)]
+    model = toxicity.train(texts, np.array([k % 3 == 0 for k in range(60)]), 1 / 3)
+    weight = dict(zip(model.names.to_pylist(), model.weights, strict=True))
+    for text in [*texts[:8], "", "one", prose(3, 500)]:
+        e = []
+        for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+            form = re.sub(r"[\W_]+", "", w.lower())
+            e.append(model.bias + weight.get(form, 0) + sum(weight.get(form[:k] + "~", 0) for k in toxicity.PREFIXES if len(form) > k))
+        p = brute_marginals(np.array(e), model.move) if e else np.zeros(0)
+        most = min(max(p.max(initial=0), 1e-3), 1 - 1e-3)
+        x = np.array([1, np.log(most / (1 - most)), np.log1p(p[p >= 0.5].sum())])
+        words = textops.Words(pa.array([text]))
+        assert model.score(words, model.marginals(words))[0] == pytest.approx(1 / (1 + np.exp(-x @ model.outer)), abs=1e-9)
+
+
+def test_toxicity_held_out(spark):
+    """Recall and precision on labelled documents that the model has not seen."""
+    from satchel.llm.language import fold
+
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs_, labels.where(fold(labels["doc_id"], 5) != 0))
+    held = docs_.select("doc_id", "text").join(labels.where(fold(labels["doc_id"], 5) == 0).select("doc_id"), "doc_id", "left_semi")
+    score = {r.doc_id: r.score for r in toxicity.tag(held, model).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in score}
+    right = sum(score[i] >= 0.5 for i, t in truth.items() if t == 1)
+    assert right >= 0.9 * sum(truth.values()) and right >= 0.95 * sum(s >= 0.5 for s in score.values())
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark), none)
