@@ -3,8 +3,9 @@
 The pages of a host are merged: elements with the same path of tags and classes form one style
 node.  A presentation node's importance is the entropy of the child sequences that pages show
 there, a content node's the entropy of its texts, both relative to the most they could be; what
-looks and reads alike on every page carries nothing.  Equal pages of a host count once.  From
-each page the branches of low importance go, as do elements whose tag, role or class says that
+looks and reads alike on every page carries nothing.  Equal pages of a host count once.  Where a
+host has few pages its tree is mixed with the tree of all hosts, and that with full importance,
+each with the weight of ``SMOOTH`` pages.  From each page the branches of low importance go, as do elements whose tag, role or class says that
 they are menus, adverts, notices, forms, comments and the like.  Inside the article only plain
 words of classes, or a whole id, say so.  Text that stands directly in an element marked as the article
 is not judged by repetition.  Text outside goes where such elements hold at least half of what the
@@ -27,7 +28,7 @@ from satchel.llm.textops import slices
 from satchel.plans.staging import BROADCAST_BYTES, stage
 
 LEAST_IMPORTANCE = 0.2  #: style nodes under it are noise
-LEAST_PAGES = 8  #: different pages of a host on which a style node must stand to be judged
+SMOOTH = 4.0  #: pages that the tree of all hosts counts for in a host's tree, and full importance in that
 FADE = 0.9  #: weight of a node's content against its presentation
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -184,16 +185,29 @@ def host() -> Column:
     return F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
 
 
-def noise(pages: DataFrame) -> DataFrame:
-    """Staged (host, noise): hashes of the style paths of a host that carry too little."""
+def importances(pages: DataFrame) -> DataFrame:
+    """(host, path, n, importance): path is a hash of a style path, n the different pages of the
+    host that have text there."""
     keyed = pages.select(host().alias("host"), "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("digest"))
     seen = keyed.mapInArrow(_observe, "host string, path long, kind int, value long, page long").distinct()
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
+    counts = stage(counts, "observed")
     n, h = F.sum("c"), F.sum(F.col("c") * F.log("c"))
-    level = counts.groupBy("host", "path", "kind").agg(n.alias("n"), ((F.log(n) - h / n) / F.log(F.greatest(n, F.lit(2)))).alias("entropy"))
     weight = F.when(F.col("kind") == 0, FADE).otherwise(1 - FADE)
-    nodes = level.groupBy("host", "path").agg(F.max("n").alias("n"), F.sum(weight * F.col("entropy")).alias("importance"))
-    low = nodes.where((F.col("n") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+
+    def tree(counts: DataFrame, *keys: str) -> DataFrame:
+        level = counts.groupBy(*keys, "kind").agg(n.alias("n"), ((F.log(n) - h / n) / F.log(F.greatest(n, F.lit(2)))).alias("entropy"))
+        return level.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(weight * F.col("entropy")).alias("own"))
+
+    every = tree(counts.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path")
+    mixed = lambda own, other: (F.col("n") * F.col(own) + SMOOTH * other) / (F.col("n") + SMOOTH)
+    every = every.select("path", mixed("own", F.lit(1.0)).alias("common"))
+    return tree(counts, "host", "path").join(every, "path").select("host", "path", "n", mixed("own", F.col("common")).alias("importance"))
+
+
+def noise(pages: DataFrame) -> DataFrame:
+    """Staged (host, noise): hashes of the style paths of a host that carry too little."""
+    low = importances(pages).where(F.col("importance") < LEAST_IMPORTANCE)
     return stage(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("noise")), "noise")
 
 
@@ -201,7 +215,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url and text, blocks joined by \\n.
 
     Null and empty html give an empty text; a null or odd url has the host "".  Unclosed and
-    stray tags are tolerated.  Repeated rows are extracted alike; other columns are ignored.
+    stray tags are tolerated, and so are very long and very deep pages.  Repeated rows are
+    extracted alike, an empty table gives no rows, and other columns are ignored.
     """
     low = noise(pages)
     n, paths = low.agg(F.count("*"), F.sum(F.size("noise"))).first()

@@ -375,6 +375,40 @@ def test_pages_judge_inside_articles(spark):
         assert got[100 + k].startswith(f"{own(k, 4)} {own(k, 5)}")
 
 
+def test_importances_by_brute_force(spark):
+    """Entropies of texts and of child sequences, by host and over all hosts."""
+    page = lambda k, h: f'<div class="top">{"Same" if h < 2 else prose(k, 3)}</div><div class="body"><p>{prose(k, 9)}</p>{"<p>more</p>" * (k % 3)}</div>'
+    rows = [(100 * h + k, f"http://h{h}/{k}", page(100 * h + k // (1 + (k > 7)), h)) for h in range(4) for k in range((1, 12, 9, 2)[h])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts, shapes = {}, {}
+    for h, html in {(r[1].split("/")[2], r[2]) for r in rows}:
+        blocks, children = html_text.parse(html)
+        for path in {b.path for b in blocks}:
+            for key in ((h, path), ("*", path)):
+                texts.setdefault(key, []).append("\n".join(b.words for b in blocks if b.path == path))
+                shapes.setdefault(key, []).append(" ".join(children[path]))
+
+    def entropy(values):
+        c = np.array(list(Counter(values).values()), float)
+        return float(-(c / c.sum() * np.log(c / c.sum())).sum() / np.log(max(c.sum(), 2)))
+
+    own = {k: html_text.FADE * entropy(texts[k]) + (1 - html_text.FADE) * entropy(shapes[k]) for k in texts}
+    mixed = lambda k, other: (len(texts[k]) * own[k] + html_text.SMOOTH * other) / (len(texts[k]) + html_text.SMOOTH)
+    want = {(h, int(html_text.hashed([path])[0])): mixed((h, path), mixed(("*", path), 1.0)) for h, path in texts if h != "*"}
+    got = {(r.host, r.path): r.importance for r in html_text.importances(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_pages_clutter_without_telling_names(spark):
+    """Inside the article a branch without a telling name goes where it reads alike on every page,
+    and stays where it does not, also if its words come again."""
+    page = lambda k: f'<article><div class="k1"><p>Sign up for more of this</p></div><p class="k2">{prose(8000 + k, 25)}</p><p class="k3">Part {k % 5} of five: {prose(8100 + k, 4)}</p></article>'
+    rows = [(k, f"http://one/{k}", page(k)) for k in range(10)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    flat = lambda t: " ".join(t.split())
+    assert got == {k: f"{flat(prose(8000 + k, 25))}\nPart {k % 5} of five: {flat(prose(8100 + k, 4))}" for k in range(10)}
+
+
 def test_parts_of_articles_have_everyday_names():
     found = html_text.parse('<article><h2 id="legal-status">A</h2><section id="search"><p>B</p></section><p class="share-prices">C</p><p class="a b c d">D</p><p class="a b c e">E</p></article>')[0]
     assert not any(b.dropped for b in found) and len({b.path for b in found}) == 5
