@@ -80,4 +80,4 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_sentencepiece": op2_sentencepiece, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_html_text": op7_html_text, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op3_secret_scan": secrets.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
