@@ -18,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.llm.textops import Words, mix, slices
+from satchel.plans.staging import stage
 
-ROWS_PER_LANGUAGE = 800  #: sample of each language that fills the filters, chosen by hash of the id
+ROWS_PER_LANGUAGE = 800  #: sample of each language that fills the filters, chosen by hash of the text
 SIZES = (3, 4)
 LEAST, SHARE = 3, 0.05
 PROBES = 3
@@ -115,19 +117,24 @@ class LanguageFilter:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, has, strict=True)], np.where(has, np.minimum(score, 1), 0.0)
 
 
-def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageFilter | None:
-    """The filter of ``labelled`` rows (doc_id, text, lang), of which about ``rows`` per language
-    are used.  Every language is learnt, however many there are.  None if there is nothing to
-    learn from."""
+def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, int] | None:
+    """What the filter is made of: languages, gram hashes, their masks (a row for every ``WORD``
+    languages) and the number of the most frequent language.  None if there is nothing to learn
+    from.
+
+    About ``rows`` different texts of each language of ``labelled`` (doc_id, text, lang) are used;
+    rows that repeat a text are drawn alike and count once.
+    """
+    spark = labelled.sparkSession
     known = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
     languages = sorted(r.lang for r in sizes)
     share = {r.lang: min(1.0, rows / r.n) for r in sizes}
-    table = labelled.sparkSession.createDataFrame([(x, k, share[x]) for k, x in enumerate(languages)], "lang string, k int, share double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(table), "lang").where(draw < F.col("share")).select("text", "k")
+    table = spark.createDataFrame([(x, k, share[x]) for k, x in enumerate(languages)], "lang string, k int, share double")
+    draw = F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(F.broadcast(table), "lang").where(draw < F.col("share")).select("text", "k").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -141,19 +148,23 @@ def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageFilter |
                 n = np.bincount(back, weights=use[seen], minlength=len(key)).astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["k", "gram", "n"])
 
-    found = sample.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    table = found.toArrow()
-    k, gram, n = (table.column(c).to_numpy() for c in ("k", "gram", "n"))
-    totals = np.maximum(np.bincount(k, weights=n, minlength=len(languages)), 1)
-    rate = n / totals[k]
-    key, back = np.unique(gram, return_inverse=True)
-    most = np.zeros(len(key))
-    np.maximum.at(most, back, rate)
-    own = rate >= SHARE * most[back]
-    masks = np.zeros((-(-len(languages) // WORD), len(key)), np.uint64)
-    np.bitwise_or.at(masks, (k[own] // WORD, back[own]), np.uint64(1) << (k[own] % WORD).astype(np.uint64))
-    prior = languages.index(sizes[0].lang)
-    return LanguageFilter(languages, key.view(np.uint64), masks, prior)
+    counts = stage(sample.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "grams")
+    totals = F.broadcast(counts.groupBy("k").agg(F.sum("n").alias("total")))
+    rate = counts.join(totals, "k").withColumn("rate", F.col("n") / F.col("total"))
+    own = rate.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most"))
+    # Only the filter's content comes to the driver: a row for each gram.
+    found = own.groupBy("gram").agg(F.collect_list("k").alias("of")).toArrow().combine_chunks()
+    of = found.column("of").combine_chunks()
+    k, at = of.flatten().to_numpy().astype(np.int64), pc.list_parent_indices(of).to_numpy().astype(np.int64)
+    masks = np.zeros((-(-len(languages) // WORD), found.num_rows), np.uint64)
+    np.bitwise_or.at(masks, (k // WORD, at), np.uint64(1) << (k % WORD).astype(np.uint64))
+    return languages, found.column("gram").to_numpy().view(np.uint64), masks, languages.index(sizes[0].lang)
+
+
+def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> LanguageFilter | None:
+    """The filter of what ``learn`` finds.  Every language is learnt, however many there are."""
+    found = learn(labelled, rows)
+    return LanguageFilter(*found) if found else None
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
@@ -161,7 +172,9 @@ def identify(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
 
     Texts that are null or have no letter are ``und`` with score 0, and so is everything when
     there is no model.  A text with letters but without known grams gets the most frequent
-    language with score 0.  Other columns are ignored.
+    language with score 0; of languages with equal counts the first by name is taken.  Repeated
+    rows are judged apart and alike, very long texts whole; an empty table gives no rows, and other
+    columns are ignored.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -438,6 +438,40 @@ def test_language_filter_has_no_false_negative():
         assert ((other >> k) & 1).mean() == pytest.approx(model.false_rate[k], abs=0.02)
 
 
+def test_language_grams_by_brute_force(spark):
+    """The learnt masks, and a text's counts, from plain counting of grams."""
+    rng = random.Random(5)
+    rows = [(k, " ".join("".join(rng.choice(("abcde", "cdefgé")[k % 2]) for _ in range(rng.randint(1, 6))) for _ in range(30)), "xy"[k % 2]) for k in range(20)]
+    rows += [(7, rows[0][1], "x"), (None, rows[1][1], "y"), (90, None, "x"), (91, "abc", None)]
+    grams = lambda text: [w[i : i + n] for x in text.split() for w in [f" {x} "] for n in language.SIZES for i in range(len(w) - n + 1)]
+    count = {lang: Counter(g for t in {t for _, t, x in rows if x == lang and t} for g in grams(t)) for lang in "xy"}
+    count = {lang: {g: n for g, n in c.items() if n >= language.LEAST} for lang, c in count.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    own = {lang: {g for g in r if r[g] >= language.SHARE * max(rate[x].get(g, 0) for x in "xy")} for lang, r in rate.items()}
+    languages, keys, masks, prior = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    key = {}
+    for g in own["x"] | own["y"]:
+        inner = g.strip()  # the hash of a gram is that of the word in which it stands
+        found, _, _ = language.grams([inner])
+        at = [x for n in language.SIZES for x in [f" {inner} "[i : i + n] for i in range(len(inner) + 3 - n)]].index(g)
+        key[g] = int(found[at])
+    assert languages == ["x", "y"] and {int(k): int(m) for k, m in zip(keys, masks[0])} == {key[g]: (g in own["x"]) + 2 * (g in own["y"]) for g in key}
+    model = language.LanguageFilter(languages, keys, masks, prior)
+    text = rows[2][1] + " " + rows[3][1]
+    counts, n, has = model.counts(pa.array([text]))
+    want = np.array([sum(g in own[x] for g in grams(text)) for x in "xy"])
+    assert n[0] == len(grams(text)) and has[0] and np.abs(counts[0] - want).max() <= 0.05 * len(grams(text)) + 3
+
+
+def test_language_odd_rows(spark):
+    """Null ids, repeated ids and rows, ties and very long texts."""
+    rows = [(1, "aaa bbb " * 20, "x"), (2, "ccc ddd " * 20, "y")]
+    model = language.fit(spark.createDataFrame(rows * 3, "doc_id long, text string, lang string"))
+    asked = [(None, "aaa bbb"), (5, "ccc"), (5, "aaa"), (5, "ccc"), (6, "aaa ccc"), (7, "ccc " * 200_000), (8, "zzz")]
+    got = sorted(((r.doc_id or 0, r.lang_pred) for r in language.identify(docs(spark, asked), model).collect()))
+    assert got == [(0, "x"), (5, "x"), (5, "y"), (5, "y"), (6, "x"), (7, "y"), (8, "x")]
+
+
 def test_more_languages_than_a_mask_holds(spark):
     """130 languages with words of their own; the last by rank is known like the first."""
     word = lambda k, j: "".join(chr(0x4E00 + 9 * k + (j + i) % 9) for i in range(5))
