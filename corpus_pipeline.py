@@ -32,15 +32,6 @@ def staged(f: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, st
     return call
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id); null ids match null.
-
-    The ids are broadcast if their count is within the bound, and shuffled otherwise.
-    """
-    gone = small(stage(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-
-
 def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Semi- or anti-join of ``docs`` with ``rows`` (doc_id, text_hash); null ids match null."""
     keys = small(stage(rows.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash_gone")).distinct(), "keys"), width=32)
@@ -49,7 +40,7 @@ def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 @staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go.  Null and empty texts fail the rules."""
+    """Rejected documents go.  Null and empty texts fail the rules; repeated rows are judged alike."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -75,20 +66,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @staged
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go.
+
+    Rows are told apart by doc_id and text, so of an id on several texts only those with a window
+    go, and repeated rows go or stay together.  Null and empty texts have no window and stay.
+    """
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("contaminated"))
+    return by_row(docs, found.where("contaminated"), "left_anti")
 
 
 @staged
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reported spans are blanked; all documents stay."""
+    """Reported spans are blanked; all documents stay, null and empty texts as they are, and
+    repeated rows are blanked alike."""
     return secrets.redact(docs)
 
 
 @staged
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as ids."""
+    """Every document as ids; null and empty texts have none, repeated rows have the same."""
     return pieces.encode(docs, pieces.Pieces.load())
 
 
