@@ -370,7 +370,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Two documents link when 100 * intersection >= percent * union of their shingle sets;
     component_id is the least doc_id that links reach.  Null and empty texts have empty sets and
     link with nothing, so they keep their own id; a null doc_id never is a component's id if
-    another is there.  Repeated rows are one node.  Other columns are ignored.
+    another is there.  Repeated rows are one node.  A very long text is one set and goes through
+    Python alone; ties between ids cannot be, as the least counts.  An empty table gives no rows;
+    other columns are ignored.
     """
     described = describe(docs, n, percent)
     comps = component_table(docs, described, n, percent)
