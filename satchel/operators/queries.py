@@ -287,7 +287,82 @@ def archive_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.table(spark, path, "entries", password).where("kind = 'file'").select("path", "size", "stored")
 
 
-@query()
+NATIONS = """f AS (SELECT 'world/' || r_name || '/' || n_name AS path, repeat(n_name || ' ', n_nationkey * 500) AS text FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def nation_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder tree of the nations (25 rows at every scale): a folder for each region, an empty
+    one beside them, and a file for each nation, the first one empty; the path of its root."""
+    base = new_path(spark, "tree").removeprefix("file://")
+    names = {r.r_regionkey: r.r_name for r in table(spark, sf_dir, "region").collect()}
+    os.makedirs(f"{base}/world/nowhere")
+    for r in table(spark, sf_dir, "nation").collect():
+        os.makedirs(folder := f"{base}/world/{names[r.n_regionkey]}", exist_ok=True)
+        with open(f"{folder}/{r.n_name}", "w") as f:
+            f.write(f"{r.n_name} " * (r.n_nationkey * 500))
+    return f"{base}/world"
+
+
+@query(
+    f"""WITH {NATIONS} SELECT path, octet_length(encode(text))::BIGINT AS size, 'file' AS kind FROM f
+  UNION ALL SELECT 'world/' || r_name, 0, 'dir' FROM region UNION ALL SELECT 'world', 0, 'dir' UNION ALL SELECT 'world/nowhere', 0, 'dir'"""
+)
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and folders below a root, the empty one included; a root that is given twice is read once."""
+    root = nation_tree(spark, sf_dir)
+    files, folders = archive.scan(spark, [root, root])
+    return files.select("path", "size", F.lit("file").alias("kind")).unionByName(folders.select("path", F.lit(0).cast("long").alias("size"), F.lit("dir").alias("kind")))
+
+
+@query(
+    f"""WITH {NATIONS} SELECT path, block_no::BIGINT AS block_no, hex(encode(text)[block_no * 4096 + 1:least(block_no * 4096 + 4096, octet_length(encode(text)))]) AS raw FROM
+  (SELECT path, text, unnest(range(0, (octet_length(encode(text)) + 4095) // 4096)) AS block_no FROM f WHERE text <> '')"""
+)
+def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read block by block."""
+    files, _ = archive.scan(spark, [nation_tree(spark, sf_dir)])
+    return archive.file_blocks(files, 4096).withColumn("raw", F.hex("raw"))
+
+
+def restored(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    """The files of an encrypted archive after it was restored beside itself, one file of every
+    region (that of the least name) being there already with other bytes."""
+    root = nation_tree(spark, sf_dir)
+    base = os.path.dirname(root)
+    archive.compress(spark, [root], f"{base}/out.sy", 0, PASSWORD, block_size=4096)
+    for folder in os.scandir(root):
+        if inside := sorted(os.listdir(folder.path)):
+            os.makedirs(at := f"{base}/out/world/{folder.name}")
+            with open(f"{at}/{inside[0]}", "w") as f:
+                f.write("old")
+    written = archive.restore(spark, f"{base}/out.sy", None, PASSWORD, policy, 4096).withColumn("written", F.lit(True))
+    files, folders = archive.scan(spark, [f"{base}/out/world"])
+    if folders.where("path = 'world/nowhere'").count() != 1:
+        raise AssertionError("the empty folder was not restored")
+    blocks = archive.file_blocks(files, 1 << 20).select("path", F.col("raw").cast("string").alias("text"))
+    found = files.select("path").join(blocks, "path", "left").join(written.select("path", "written"), "path", "left")
+    return found.select("path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("written", F.lit(False)).alias("written"))
+
+
+@query(f"WITH {NATIONS} SELECT path, text, true AS written FROM f")
+def file_roundtrip_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored(spark, sf_dir, "overwrite")
+
+
+@query(
+    f"""WITH {NATIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY path) = 1 AS there FROM f)
+  SELECT path, CASE WHEN there THEN 'old' ELSE text END AS text, NOT there AS written FROM o"""
+)
+def file_roundtrip_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored(spark, sf_dir, "skip")
+
+
+@query(
+    # Entries of 12 bytes for the root and the folder and of 29 for each file; a block of the
+    # directory ends with its 565th file, the one that brings it to 16 KiB.
+    """SELECT 3735928559::BIGINT AS magic1, 3::SMALLINT AS strategy, 0::SMALLINT AS version, 19::SMALLINT AS header_offset,
+  (19 + 25 * greatest((count(*) + 564) // 565, 1) + 24 + 29 * count(*) + 4)::BIGINT AS directory_offset, 3735928559::BIGINT AS magic2 FROM documents"""
+)
 def archive_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = packed(spark, sf_dir, 3)
     return archive.table(spark, path, "header").drop("archive")
