@@ -10,7 +10,8 @@ function of the token, so false positives cost time and never a link.
 
 Candidates share a prefix token under the first order; before verification they must share one
 under the second order too, have compatible sizes, and pass a bit map bound: two sets differ in
-at least as many tokens as their bit maps differ in bits.  No bucket is expanded into rows for
+at least as many tokens as their bit maps differ in bits.  Sets are only fetched of nodes that
+under either order share a token with a node of a compatible size.  No bucket is expanded into rows for
 all its pairs: each bucket's hub is compared with the bucket and linked nodes are contracted;
 after that, what is left of a bucket is compared by bit maps inside a task, block by block.  For
 a few rounds only each node's nearest partner of another component leaves the task, which
@@ -20,6 +21,7 @@ pair that no component joins already is compared, however large its bucket is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from satchel.llm.components import components
 from satchel.llm.textops import Words, mix, slices
-from satchel.plans.staging import stage
+from satchel.plans.staging import small, stage
 
 SAMPLE = 4  #: one token in so many is counted over the corpus
 FREQUENT = 64  #: documents from which a counted token goes last
@@ -178,6 +180,26 @@ def may_link(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     return differ * (100 + percent) <= total * (100 - percent)
 
 
+def paired(nodes: DataFrame, prefix: str, percent: int) -> DataFrame:
+    """Rows (key, node, n_shingles) of prefix tokens that a node shares with one of a size that may
+    be compatible: sizes that are differ by one class at most, the last class being open.
+
+    Counts of a bucket and of its classes keep a lonely node of some buckets; no pair is lost.
+    """
+    width = max(0.01, 1.000001 * math.log(100 / percent))
+    cls = F.least(F.lit(62), F.floor(F.log("n_shingles") / width)).cast("int")
+    each = nodes.select(F.explode(prefix).alias("key"), "node", "n_shingles")
+    classes = each.withColumn("cls", cls).groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_or(shiftleft(1L, cls))").alias("some")).where("c > 1")
+    rows = each.join(classes, "key").withColumn("cls", cls)
+    beside = F.expr("(some & shiftrightunsigned(shiftleft(5L, cls), 1)) != 0")
+    return rows.where(beside | F.expr("c > bit_count(some)")).select("key", "node", "n_shingles")
+
+
+def of(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose node is in the one column of ``nodes``, a staged table."""
+    return table.join(small(nodes.toDF("node")), "node", "left_semi")
+
+
 def by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that pass the bit map bound."""
     both = pairs.join(bits.withColumnsRenamed({"node": "b", "bits": "right"}), "b").join(bits.withColumnsRenamed({"node": "a", "bits": "left"}), "a")
@@ -278,9 +300,9 @@ def rest_of_buckets(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; ``b`` should be the rarer to repeat."""
-    left = sets.withColumnsRenamed({"node": "b", "tokens": "right"})
-    hubs = sets.withColumnsRenamed({"node": "a", "tokens": "left"})
+    """The staged pairs (a, b) whose sets are similar enough; ``b`` should be the rarer to repeat."""
+    left = of(sets, pairs.select("b")).withColumnsRenamed({"node": "b", "tokens": "right"})
+    hubs = of(sets, pairs.select("a")).withColumnsRenamed({"node": "a", "tokens": "left"})
     both = pairs.select("a", "b").join(left, "b").join(hubs, "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +322,11 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     """(node, comp) of the nodes that have links."""
     nodes = stage(described.where("node is not null").dropDuplicates(["node"]).drop("doc_id"), "nodes")
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    each = nodes.select(F.explode("pre1").alias("key"), "node", "n_shingles")
-    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    buckets = stage(each.join(shared, "key").withColumn("comp", F.col("node")), "buckets")
-    sets = fetch_sets(docs, buckets.select("node").distinct(), n)
+    first = stage(paired(nodes, "pre1", percent), "buckets")
+    met = of(nodes, stage(first.select("node").distinct(), "nodes"))
+    wanted = stage(paired(met, "pre2", percent).select("node").distinct(), "nodes")
+    buckets = stage(of(first, wanted).withColumn("comp", F.col("node")), "buckets")
+    sets = fetch_sets(docs, wanted, n)
     tokens, bits, second = sets.drop("bits"), sets.drop("tokens"), nodes.select("node", "pre2")
     tested = links = None
 
@@ -314,7 +337,9 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
         if tested is not None:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = pairs.join(second.withColumnsRenamed({"node": "b", "pre2": "pb"}), "b").join(second.withColumnsRenamed({"node": "a", "pre2": "pa"}), "a")
+        pairs = stage(pairs.select("a", "b"), "met")
+        left = of(second, pairs.select("a")).withColumnsRenamed({"node": "a", "pre2": "pa"})
+        pairs = pairs.join(of(second, pairs.select("b")).withColumnsRenamed({"node": "b", "pre2": "pb"}), "b").join(left, "a")
         pairs = stage(pairs.where(F.arrays_overlap("pa", "pb")).select("a", "b"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = stage(verify(pairs, tokens, percent), "links")
