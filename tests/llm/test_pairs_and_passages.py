@@ -59,6 +59,24 @@ def test_join_families(spark):
     assert out == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_paired_loses_no_compatible_sizes(spark, percent):
+    """Every node with a partner of a compatible size in a bucket stays, also at the edges of classes and beyond the last."""
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 4, 5, 8, 16, 10, 20, 2**20, 2**21, 2**22, *rng.integers(1, 400, 60).tolist()]
+    rows = [(k, m, rng.choice(25, 4, replace=False).tolist()) for k, m in enumerate(sizes)]
+    must = {(key, k) for k, m, own in rows for key in own for j, o, other in rows if j != k and key in other and 100 * min(m, o) >= percent * max(m, o)}
+    found = ngram_join.paired(spark.createDataFrame(rows, "node long, n_shingles long, pre array<long>"), "pre", percent)
+    got = {(r.key, r.node) for r in found.collect()}
+    assert must <= got and got <= {(key, k) for k, _, own in rows for key in own}
+
+
+def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr("satchel.plans.staging.BROADCAST_BYTES", 0)
+    out = ngram_join.join(docs(spark))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == brute_components(edge_rows(), 4, 85)
+
+
 def test_rest_of_buckets_blocks(spark):
     """A bucket cut into blocks gives the pairs of the whole bucket."""
     own = [np.sort(np.unique(np.random.default_rng(k // 3).integers(0, 2**63, 60 + k % 3).astype(np.uint64))) for k in range(12)]
