@@ -1,5 +1,6 @@
 """op2, op3, op5, op6, op7 and op8: brute force, round trips and held-out accuracy."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from satchel.llm import html_text, language, pieces, quality, secrets, textops, toxicity
 from tests.llm.data import docs, edge_rows, prose, rows_of
@@ -238,6 +240,43 @@ def test_forest_isolates_the_odd_one():
     assert score[-1] > score[:-1].max()
 
 
+def test_paths_are_means_over_all_subsamples():
+    """Of every three of five points, drawn with replacement, the path of a plain isolation tree."""
+    points = np.random.default_rng(1).normal(size=(5, 2))
+    forest = quality.Forest(points, (points.min(0), points.max(0) + 1), trees=4, subsample=3)
+
+    def length(t, node, depth, own, x):
+        if depth == forest.depth or len(own) < 2:
+            return depth + float(quality.unsuccessful(len(own)))
+        f, cut = forest.feature[t, node], forest.split[t, node]
+        above = bool(x[f] > cut)
+        return length(t, 2 * node + 1 + above, depth + 1, own[(own[:, f] > cut) == above], x)
+
+    for x in [*points, points.max(0) + 0.5]:
+        for t, leaf in enumerate(forest.leaves(x[None])):
+            lengths = [length(t, 0, 0, points[list(own)], x) for own in itertools.product(range(5), repeat=3)]
+            assert forest.path[t, leaf[0]] == pytest.approx(np.mean(lengths))
+
+
+def test_all_labelled_rows_fit(spark):
+    """Rows count for spans, paths and threshold whatever their id's hash and number are."""
+    ids = [r.id for r in spark.range(8_400).orderBy(F.xxhash64("id")).collect()]
+    odd = set(ids[-200:])  # the bad rows have the greatest hashes
+    rng, words = random.Random(5), prose(3, 3_000).split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in ids]
+    rows = [(i, t.upper().replace(" ", "# ") if i in odd else t) for i, t in rows]
+    measured = quality.measure(docs(spark, rows))
+    f = np.array([r.f for r in measured.where("not base_failed").orderBy("doc_id").collect()])
+    good = np.array([i not in odd for i, *_ in sorted(tuple(r) for r in measured.where("not base_failed").select("doc_id").collect())])
+    assert good.sum() == 8_200 and len(good) == 8_400
+    frame = spark.createDataFrame([(i, int(i not in odd), 0) for i in ids], "doc_id long, quality int, toxic int")
+    forest, limit = quality.fit(measured, frame)
+    plain = quality.Forest(f[good], (f.min(0), f.max(0)))
+    assert (forest.path == plain.path).all() and np.isfinite(limit)
+    rejected = plain.score(f) > limit
+    assert rejected[~good].all() and rejected[good].mean() <= quality.MAX_FALSE
+
+
 def test_repeated_and_slices():
     keys = np.array([5, 1, 5, 2, 2, 9], np.uint64)
     assert textops.repeated(keys).tolist() == [True, False, True, True, True, False]
