@@ -34,7 +34,7 @@ from satchel.llm.components import components
 from satchel.llm.textops import Words, mix, slices
 from satchel.plans.staging import small, stage
 
-SAMPLE = 4  #: one token in so many is counted over the corpus
+SAMPLED = 5 / 3  #: tokens counted over the corpus for each token of a prefix
 FREQUENT = 64  #: documents from which a counted token goes last
 SLOTS = 1 << 20  #: 64-bit words of a bit map
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -89,6 +89,11 @@ def inside(mask: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (mask[((tokens >> np.uint64(6)) % np.uint64(SLOTS)).astype(np.int64)] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
 
 
+def short(tokens: np.ndarray) -> np.ndarray:
+    """40 bits of each token, under which it is counted: more than a bit map tells apart."""
+    return tokens >> np.uint64(24)
+
+
 def text_hash() -> Column:
     """With doc_id the key of a row: rows that repeat both are one document."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -98,11 +103,12 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Staged rows doc_id, text_hash, n_shingles, node (null for empty sets), pre1 and pre2: the
     stored prefix tokens under either order."""
     spark = docs.sparkSession
+    sample = np.uint64(max(1, round(100 / max(100 - percent, 1) / SAMPLED)))  # one token in so many is counted
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column("text"), n)])
-            token, times = np.unique(own[own % np.uint64(SAMPLE) == 0], return_counts=True)
+            token, times = np.unique(short(own[own % sample == 0]), return_counts=True)
             yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(times.astype(np.int32))], ["token", "c"])
 
     counts = docs.select("text").mapInArrow(count, "token long, c int").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
@@ -115,9 +121,9 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = shingles(batch.column("text"), n)
             size = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate([np.zeros(0, np.uint64), *sets])
-            sampled = every % np.uint64(SAMPLE) == 0
-            rank = np.where(sampled, inside(repeated.value, every).astype(np.uint64), np.uint64(2))
-            rank[sampled & inside(frequent.value, every)] = 3
+            sampled = every % sample == 0
+            rank = np.where(sampled, inside(repeated.value, short(every)).astype(np.uint64), np.uint64(2))
+            rank[sampled & inside(frequent.value, short(every))] = 3
             end = np.cumsum(size).tolist()
             columns = []
             for order in ORDERS:
@@ -180,19 +186,34 @@ def may_link(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     return differ * (100 + percent) <= total * (100 - percent)
 
 
+def size_class(percent: int) -> Column:
+    """Compatible sizes are in one class or in neighbouring ones; the last class is open."""
+    width = max(0.01, 1.000001 * math.log(100 / percent))
+    return F.least(F.lit(62), F.floor(F.log("n_shingles") / width)).cast("int")
+
+
+def classes() -> list[Column]:
+    """Of a group, its size c, all classes as bits, and those that an odd number of nodes have."""
+    return [F.count("*").alias("c"), F.expr("bit_or(shiftleft(1L, cls))").alias("some"), F.expr("bit_xor(shiftleft(1L, cls))").alias("odd")]
+
+
+def accompanied() -> Column:
+    """Whether one of a group's ``c`` nodes may have company in its class or beside it.  A node whose class is
+    odd is alone if no class can have more than two: then each even class has two, each odd one has one."""
+    beside = F.expr("(some & shiftrightunsigned(shiftleft(5L, cls), 1)) != 0")
+    return beside | F.expr("(odd & shiftleft(1L, cls)) = 0 or c - bit_count(some) > bit_count(some & ~odd)")
+
+
 def paired(nodes: DataFrame, prefix: str, percent: int) -> DataFrame:
     """Rows (key, node, n_shingles) of prefix tokens that a node shares with one of a size that may
     be compatible: sizes that are differ by one class at most, the last class being open.
 
     Counts of a bucket and of its classes keep a lonely node of some buckets; no pair is lost.
     """
-    width = max(0.01, 1.000001 * math.log(100 / percent))
-    cls = F.least(F.lit(62), F.floor(F.log("n_shingles") / width)).cast("int")
+    cls = size_class(percent)
     each = nodes.select(F.explode(prefix).alias("key"), "node", "n_shingles")
-    classes = each.withColumn("cls", cls).groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_or(shiftleft(1L, cls))").alias("some")).where("c > 1")
-    rows = each.join(classes, "key").withColumn("cls", cls)
-    beside = F.expr("(some & shiftrightunsigned(shiftleft(5L, cls), 1)) != 0")
-    return rows.where(beside | F.expr("c > bit_count(some)")).select("key", "node", "n_shingles")
+    groups = each.withColumn("cls", cls).groupBy("key").agg(*classes()).where("c > 1")
+    return each.join(groups, "key").withColumn("cls", cls).where(accompanied()).select("key", "node", "n_shingles")
 
 
 def of(table: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,8 +347,7 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     met = of(nodes, stage(first.select("node").distinct(), "nodes"))
     wanted = stage(paired(met, "pre2", percent).select("node").distinct(), "nodes")
     buckets = stage(of(first, wanted).withColumn("comp", F.col("node")), "buckets")
-    sets = fetch_sets(docs, wanted, n)
-    tokens, bits, second = sets.drop("bits"), sets.drop("tokens"), nodes.select("node", "pre2")
+    second = nodes.select("node", "pre2")
     tested = links = None
 
     def linked(pairs: DataFrame) -> int:
@@ -353,17 +373,22 @@ def component_table(docs: DataFrame, described: DataFrame, n: int, percent: int)
     def mixed() -> DataFrame:
         """Buckets of several components, one of each set of nodes, with a hub."""
         hub = F.min_by(F.struct("node", "n_shingles", "comp"), F.xxhash64("node"))
-        found = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), hub.alias("hub"))
-        return found.where("x != y").groupBy("c", "same", "hub").agg(F.min("key").alias("key")).drop("same")
+        found = buckets.withColumn("cls", size_class(percent)).groupBy("key").agg(*classes(), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), hub.alias("hub"))
+        return found.where("x != y").groupBy("c", "same", "some", "odd", "hub").agg(F.min("key").alias("key")).drop("same")
 
     def prune() -> DataFrame:
-        """Keep only buckets that still have pairs to compare, with their size c and hub."""
+        """Keep only buckets that still have pairs to compare, with their size c and hub, and of
+        them the nodes that may have a compatible one there."""
         nonlocal buckets
-        rows = stage(buckets.join(mixed(), "key"), "rows")
+        rows = buckets.join(mixed(), "key").withColumn("cls", size_class(percent)).where(accompanied())
+        rows = stage(rows.drop("some", "odd", "cls"), "rows")
         buckets = rows.drop("c", "hub")
         return rows
 
-    star = prune().where(F.col("comp") != F.col("hub.comp"))
+    rows = prune()
+    sets = fetch_sets(docs, stage(rows.select("node").distinct(), "nodes"), n)
+    tokens, bits = sets.drop("bits"), sets.drop("tokens")
+    star = rows.where(F.col("comp") != F.col("hub.comp"))
     star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
     linked(by_bits(star.where(fits("na", "nb")).distinct(), bits, percent))
     n_nodes, round_ = sets.count(), 0

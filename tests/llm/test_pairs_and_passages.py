@@ -71,6 +71,21 @@ def test_paired_loses_no_compatible_sizes(spark, percent):
     assert must <= got and got <= {(key, k) for k, _, own in rows for key in own}
 
 
+def test_nodes_of_other_sizes_leave_a_bucket(spark):
+    """Of a bucket with two of a class, a node of a size far from theirs has nobody to meet."""
+    rows = [(1, 100, [7]), (2, 100, [7]), (3, 1000, [7, 8]), (4, 100, [8]), (5, 1001, [8])]
+    found = ngram_join.paired(spark.createDataFrame(rows, "node long, n_shingles long, pre array<long>"), "pre", 80)
+    assert {(r.key, r.node) for r in found.collect()} == {(7, 1), (7, 2), (8, 3), (8, 5)}
+
+
+def test_tokens_of_one_text_fill_the_prefix(spark):
+    """Where two thirds of a set are in no other text, the prefix (a fifth of it) has nothing to store."""
+    rows = [(k, " ".join([*prose(50, 600).split()[:300], *(f"{k}of{j}" for j in range(600))])) for k in range(4)]
+    got = ngram_join.describe(docs(spark, rows).select("doc_id", "text"), 5, 80).collect()
+    assert all(r.n_shingles > 850 and not r.pre1 and not r.pre2 for r in got)
+    assert rows_of(ngram_join.join(docs(spark, rows), 5, 80), "doc_id", "component_id") == [(k, k) for k in range(4)]
+
+
 def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr("satchel.plans.staging.BROADCAST_BYTES", 0)
     out = ngram_join.join(docs(spark))
